@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lessonloom.runtime import materialize, tables
 
-from . import mixing, packing, reading, site_lines, splitting
+from . import mixing, near_duplicates, packing, reading, site_lines, splitting
 from .tokens import n_tokens
 
 
@@ -24,6 +24,22 @@ def p1_clean(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.without_lines(rows, site_lines.repeated_lines(rows))
 
 
+def _copy_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    t = tables(spark, d)
+    return {
+        "document_chunks": t("document_chunks").select(F.col("chunk_id").alias("id"), F.col("normalized_text").alias("text")),
+        "lessons": t("lessons").select(F.col("lesson_id").alias("id"), F.col("learning_objective").alias("text")),
+    }
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.similar_pairs(_copy_tables(spark, d))
+
+
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.duplicate_groups(_copy_tables(spark, d))
+
+
 def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.pieces(tables(spark, d)("document_chunks"))
 
@@ -73,7 +89,7 @@ def p9_profile(spark: SparkSession, d: str) -> DataFrame:
     return reading.profile(p9_levels(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p5_found, p5_pieces, p7_packed, p7_fill, p8_drawn, p8_shares, p9_found, p9_levels, p9_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_groups, p5_found, p5_pieces, p7_packed, p7_fill, p8_drawn, p8_shares, p9_found, p9_levels, p9_profile)}
 
 _P1_LINES = """
 rows AS (SELECT DISTINCT source_site, document_id, chunk_id, normalized_text FROM document_chunks WHERE extraction = 'TEXT'),
