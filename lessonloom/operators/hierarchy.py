@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from lessonloom.runtime import materialize, small
+from lessonloom.runtime import materialize
 
 #: Links up to which a contracted core is solved in one task; a larger one is contracted and coloured further.
 CORE_LINKS = 1_000_000
@@ -40,22 +40,56 @@ def links(rows: DataFrame, *, node: str, parents: str, arrival: str | None = Non
     return nodes, materialize(each.join(nodes.select(F.col("v").alias("p")), "p", "left_semi").select("v", "p", "pos"), "links")
 
 
-def _jump(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """(v, t): for nodes with one link, the node at the end of their run of such nodes; on a loop of them its smallest id.
+def _climb(up: DataFrame, rounds: int = 64) -> DataFrame:
+    """Doubling over pointers (v, a), one row per node, a null at a top: (v, top, dist, size, loose).
 
-    ``edges`` has v, p, one row per v. Doubling; a loop never ends, so its least label is carried along, and the rounds
-    stop once every pointer has left the run or the doubled step exceeds the number of nodes.
+    ``top`` is the last node above v, ``dist`` the steps to it, ``size`` the nodes at or below v. Nodes whose pointers
+    never end (in or behind a loop) are ``loose``; no end is reached from them once the step exceeds their number.
     """
-    at = materialize(edges.select("v", F.col("p").alias("t"), F.least("v", "p").alias("least")), "jump")
-    n, step = at.count(), 1
+    at = materialize(up.select("v", "a", F.when(F.col("a").isNull(), 0).otherwise(1).cast("long").alias("dist"), F.coalesce("a", "v").alias("top"), F.lit(1).cast("long").alias("size")), "climb")
+    step = 1
     for _ in range(rounds):
-        nxt = at.select(F.col("v").alias("t"), F.col("t").alias("t2"), F.col("least").alias("least2"))
-        at = materialize(at.join(nxt, "t", "left").select("v", F.coalesce("t2", "t").alias("t"), F.least("least", "least2").alias("least"), F.col("t2").isNotNull().alias("moved")), "jump")
+        moving = at.filter("a IS NOT NULL").count()
+        if not moving:
+            break
+        if step > moving and at.filter("a IS NOT NULL").join(at.filter("a IS NULL").select(F.col("v").alias("a")), "a", "left_semi").isEmpty():
+            break
+        above = at.select(F.col("v").alias("a"), F.col("a").alias("a2"), F.col("dist").alias("d2"), F.col("top").alias("t2"))
+        below = at.filter("a IS NOT NULL").groupBy("a").agg(F.sum("size").alias("more")).withColumnRenamed("a", "v")
+        at = at.join(above, "a", "left").select("v", F.col("a2").alias("a"), (F.col("dist") + F.coalesce("d2", F.lit(0))).alias("dist"), F.coalesce("t2", "top").alias("top"), "size")
+        at = materialize(at.join(below, "v", "left").select("v", "a", "dist", "top", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")), "climb")
         step *= 2
-        if step > n or at.filter("moved").isEmpty():
+    return at.select("v", "top", "dist", "size", F.col("a").isNotNull().alias("loose"))
+
+
+def _runs(single: DataFrame, rounds: int = 64) -> tuple[list[DataFrame], DataFrame, DataFrame]:
+    """For nodes with one link (v, p): the pointers after 1, 2, 4, ... steps, where the runs end (v, t), and their loops (v, cycle_id).
+
+    A run ends at its first node that isn't in ``single``. Runs into a loop have no end; a loop's nodes are what its
+    pointers still hit once the step exceeds the number of nodes under way.
+    """
+    at = materialize(single.select("v", F.col("p").alias("t"), F.least("v", "p").alias("least")), "runs")
+    levels, step = [at], 1
+    ended = at.join(single.select(F.col("v").alias("t")), "t", "left_anti").select("v", "t")
+    going = materialize(at.join(single.select(F.col("v").alias("t")), "t", "left_semi"), "runs")
+    ends = [ended]
+    for _ in range(rounds):
+        n = going.count()
+        if not n or step > n:
             break
-    loops = at.filter("moved").select("v", F.col("least").alias("t"), F.lit(True).alias("loop"))
-    return at.filter("NOT moved").select("v", "t", F.lit(False).alias("loop")).unionByName(loops)
+        ahead = at.select(F.col("v").alias("t"), F.col("t").alias("t2"), F.col("least").alias("l2"))
+        moved = materialize(going.join(ahead, "t").select("v", F.col("t2").alias("t"), F.least("least", "l2").alias("least")), "runs")
+        done = at.join(going.select("v"), "v", "left_anti")
+        at = materialize(moved.unionByName(done), "runs")
+        levels.append(at)
+        ends.append(moved.join(single.select(F.col("v").alias("t")), "t", "left_anti").select("v", "t"))
+        going = materialize(moved.join(single.select(F.col("v").alias("t")), "t", "left_semi"), "runs")
+        step *= 2
+    loops = going.select(F.col("t").alias("v")).distinct().join(going.select("v", F.col("least").alias("cycle_id")), "v")
+    out = ends[0]
+    for e in ends[1:]:
+        out = out.unionByName(e)
+    return levels, materialize(out, "ends"), loops
 
 
 def _components(edges: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -109,28 +143,122 @@ def _components(edges: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"v": ids[at], "scc": ids[label[at]]})
 
 
+def _core(edges: DataFrame) -> DataFrame:
+    """(v, cycle_id) of a bounded core, in one task."""
+    found = edges.select(F.col("v").cast("string"), F.col("p").cast("string")).coalesce(1).mapInPandas(_components, "v string, scc string")
+    return found.join(found.groupBy("scc").agg(F.min("v").alias("cycle_id")), "scc").select("v", "cycle_id")
+
+
+def _coloured(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
+    """(v, cycle_id) of a core of any size without nodes to contract: least labels forward, confirmed backward, until no link is left."""
+    out = None
+    for _ in range(rounds):
+        if edges.isEmpty():
+            break
+        label = materialize(edges.select(F.col("v").alias("x")).unionByName(edges.select(F.col("p").alias("x"))).distinct().select("x", F.col("x").alias("l")), "colour")
+        while True:
+            least = edges.join(label, F.col("v") == F.col("x")).groupBy("p").agg(F.min("l").alias("m"))
+            new = materialize(label.join(least, F.col("x") == F.col("p"), "left").select("x", F.least("l", F.coalesce("m", "l")).alias("l"), (F.col("m") < F.col("l")).alias("new")), "colour")
+            label = new.select("x", "l")
+            if new.filter("new").isEmpty():
+                break
+        same = materialize(edges.join(label.select(F.col("x").alias("v"), F.col("l").alias("lv")), "v").join(label.select(F.col("x").alias("p"), F.col("l").alias("lp")), "p").filter("lv = lp").select("v", "p", F.col("lv").alias("l")), "same")
+        found = materialize(same.filter("p = l").select("v", "l").distinct().unionByName(same.select(F.col("l").alias("v"), "l").distinct()).distinct(), "back")
+        while True:
+            more = materialize(same.join(found.select(F.col("v").alias("p")), "p", "left_semi").select("v", "l").distinct().join(found, ["v", "l"], "left_anti"), "back")
+            if more.isEmpty():
+                break
+            found = materialize(found.unionByName(more), "back")
+        real = found.join(same.filter("p = l").select("l").distinct(), "l", "left_semi").select("v", F.col("l").alias("cycle_id"))
+        out = real if out is None else out.unionByName(real)
+        edges = materialize(edges.join(found.select("v"), "v", "left_anti").join(found.select(F.col("v").alias("p")), "p", "left_anti"), "edges")
+    return out if out is not None else edges.select("v", F.col("p").alias("cycle_id"))
+
+
 def cycles(edges: DataFrame, *, core_links: int = CORE_LINKS) -> DataFrame:
-    """(v, cycle_id) of every node that a way of links leads back to; ``edges`` has v, p. cycle_id is the smallest id of the component."""
-    edges = edges.select("v", "p").distinct()
-    own = edges.filter("v = p").select("v")
-    edges = materialize(edges.filter("v <> p"), "edges")
-    # Each round keeps, per original link, its present ends; a contracted node is in a component if a link into it is.
-    current = edges.select("v", "p", F.col("v").alias("from"), F.col("p").alias("into"))
-    merged: list[DataFrame] = []
-    inside = None
+    """(v, cycle_id) of every node that a way of links leads back to; ``edges`` has v, p as strings. cycle_id is the least id of its component."""
+    edges = materialize(edges.filter("v IS NOT NULL AND p IS NOT NULL").select("v", "p").distinct(), "edges")
+    itself = edges.filter("v = p").select("v", F.col("v").alias("cycle_id"))
+    found = materialize(_separate(edges.filter("v <> p"), core_links, 0).unionByName(itself), "cycles")
+    return found.groupBy("v").agg(F.min("cycle_id").alias("cycle_id"))
+
+
+def _separate(edges: DataFrame, core_links: int, level: int) -> DataFrame:
+    """(v, member id) pairs of all components, one level of contraction at a time."""
+    out = edges.groupBy("v").agg(F.count(F.lit(1)).alias("k"), F.min("p").alias("p"))
+    single = materialize(out.filter("k = 1").select("v", "p"), "single")
+    many = edges.join(single.select("v"), "v", "left_anti")
+    if single.isEmpty():
+        return _core(edges) if edges.count() <= core_links else _coloured(edges)
+    levels, ends, loops = _runs(single)
+    # A link leads to the end of the run it enters; runs into loops or to nodes without links end nowhere.
+    alive = many.select(F.col("v").alias("t")).distinct()
+    to = ends.join(alive, "t", "left_semi").select(F.col("v").alias("p"), "t")
+    kept = many.join(alive.select(F.col("t").alias("p")), "p", "left_semi").select("v", "p", F.col("p").alias("t"))
+    moved = materialize(many.join(to, "p").select("v", "p", "t").unionByName(kept), "moved")
+    rest = materialize(moved.filter("v <> t").select("v", F.col("t").alias("p")).distinct(), "rest")
+    if rest.isEmpty():
+        inner = None
+    else:
+        inner = materialize(_core(rest) if rest.count() <= core_links else _separate(rest, core_links, level + 1), "inner")
+    own = moved.filter("v = t").select("v", F.col("v").alias("cycle_id"))
+    comp = own if inner is None else inner.unionByName(own.join(inner.select("v"), "v", "left_anti"))
+    comp = materialize(comp.distinct(), "comp")
+    # Links inside a component: every node of the runs they enter belongs to it.
+    into = moved.join(comp, "v").join(comp.select(F.col("v").alias("t"), F.col("cycle_id").alias("ct")), "t").filter("cycle_id = ct AND p <> t").select(F.col("p").alias("v"), "cycle_id").distinct()
+    marked = materialize(into.join(single.select("v"), "v", "left_semi"), "marked")
+    for hop in reversed(levels):
+        ahead = marked.join(hop.select("v", "t"), "v").select(F.col("t").alias("v"), "cycle_id").join(single.select("v"), "v", "left_semi")
+        marked = materialize(marked.unionByName(ahead).distinct(), "marked")
+    # The least id may lie in a run.
+    all_ = comp.unionByName(marked)
+    least = all_.groupBy("cycle_id").agg(F.min("v").alias("least"))
+    return all_.join(least, "cycle_id").select("v", F.col("least").alias("cycle_id")).unionByName(loops)
+
+
+def hierarchy(nodes: DataFrame, edges: DataFrame, *, core_links: int = CORE_LINKS) -> DataFrame:
+    """(v, parent, root, depth, path, descendants, enter, leave, heavy_head, cycle_id), one row per node.
+
+    ``nodes`` has v, ``edges`` v, p, pos. The descendants of a node are the nodes of its root with enter above the node's
+    own and up to its leave.
+    """
+    first = edges.groupBy("v").agg(F.min_by("p", "pos").alias("a"))
+    up = materialize(nodes.join(first, "v", "left").select("v", "a"), "up")
+    climbed = _climb(up)
+    tree = materialize(up.join(climbed.filter("NOT loose"), "v"), "tree")
+    # Heavy child: the largest subtree, the smaller id of equals.
+    heavy = tree.filter("a IS NOT NULL").groupBy("a").agg(F.min_by("v", F.struct(-F.col("size"), F.col("v"))).alias("h"), F.max("size").alias("heavy_size"))
+    kids = tree.join(heavy, "a").withColumn("heavy", F.col("v") == F.col("h"))
+    kids = materialize(kids.select("v", "a", "size", "heavy", "heavy_size"), "kids")
+    chain = _climb(tree.select("v").join(kids.filter("heavy").select("v", "a"), "v", "left").select("v", "a")).select("v", F.col("top").alias("head"), F.col("dist").alias("pos"))
+    chain = materialize(chain, "chains")
+    # Where each light child's subtree begins behind its parent: sums over parts of the children, then inside a part.
+    light = kids.filter("NOT heavy").withColumn("part", F.pmod(F.xxhash64("v"), F.lit(CHILD_PARTS)))
+    parts = light.groupBy("a", "part").agg(F.sum("size").alias("s")).withColumn("before", F.sum("s").over(W.partitionBy("a").orderBy("part")) - F.col("s")).drop("s")
+    inside = F.sum("size").over(W.partitionBy("a", "part").orderBy("v")) - F.col("size")
+    offset = light.withColumn("inside", inside).join(parts, ["a", "part"]).select(F.col("v").alias("head"), F.col("a").alias("attach"), (1 + F.col("heavy_size") + F.col("before") + F.col("inside")).alias("offset"))
+    offset = offset.join(chain.select(F.col("v").alias("attach"), F.col("head").alias("on"), F.col("pos").alias("on_pos")), "attach")
+    offset = materialize(offset, "offsets")
+    segment = materialize(chain.groupBy("head").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("nodes")), "segments")
+    done = materialize(tree.filter("a IS NULL").select(F.col("v").alias("head"), F.lit(0).cast("long").alias("start"), F.array().cast("array<string>").alias("above")), "placed")
+    placed = [done]
     while True:
-        degree = current.groupBy("v").agg(F.countDistinct("p").alias("out"), F.min("p").alias("p"))
-        ends = current.select(F.col("p").alias("v")).distinct()
-        single = degree.filter("out = 1").select("v", "p")
-        if single.isEmpty():
+        nxt = offset.join(done.select(F.col("head").alias("on"), "start", "above"), "on").join(segment.select(F.col("head").alias("on"), "nodes"), "on")
+        done = materialize(nxt.select("head", (F.col("start") + F.col("on_pos") + F.col("offset")).alias("start"), F.concat("above", F.slice("nodes", F.lit(1), (F.col("on_pos") + 1).cast("int"))).alias("above")), "placed")
+        if done.isEmpty():
             break
-        run = materialize(_jump(single), "runs")
-        merged.append(run)
-        # A link now leads to the end of the run its target begins; links out of run nodes are kept by their targets' runs.
-        moved = current.join(run.select(F.col("v").alias("p"), F.col("t").alias("t")), "p", "left").withColumn("p", F.coalesce("t", "p")).drop("t")
-        moved = moved.join(run.select("v", F.col("t").alias("vt")), "v", "left")
-        looped = moved.filter("vt = p AND vt IS NOT NULL")
-        del ends, looped
-        inside = moved
-        break
-    raise NotImplementedError
+        placed.append(done)
+    all_placed = placed[0]
+    for d in placed[1:]:
+        all_placed = all_placed.unionByName(d)
+    at = tree.join(chain, "v").join(all_placed, "head").join(segment, "head")
+    at = at.select("v", F.col("top").alias("root"), F.col("dist").alias("depth"), F.concat("above", F.slice("nodes", F.lit(1), (F.col("pos") + 1).cast("int"))).alias("path"), (F.col("size") - 1).alias("descendants"), (F.col("start") + F.col("pos")).alias("enter"), (F.col("start") + F.col("pos") + F.col("size") - 1).alias("leave"), F.col("head").alias("heavy_head"))
+    return up.withColumnRenamed("a", "parent").join(at, "v", "left").join(cycles(edges, core_links=core_links), "v", "left")
+
+
+def descendants(tree: DataFrame, *, block: int = 1 << 16) -> DataFrame:
+    """(ancestor, descendant, distance): every node below another, read off the intervals."""
+    own = tree.filter("root IS NOT NULL")
+    spans = own.filter("descendants > 0").select("root", F.col("v").alias("ancestor"), F.col("depth").alias("d"), "leave", F.explode(F.sequence(F.col("enter") + 1, F.col("leave"), F.lit(block).cast("long"))).alias("lo"))
+    each = spans.select("root", "ancestor", "d", F.explode(F.sequence("lo", F.least("leave", F.col("lo") + block - 1))).alias("enter"))
+    return each.join(own.select("root", "enter", F.col("v").alias("descendant"), "depth"), ["root", "enter"]).select("ancestor", "descendant", (F.col("depth") - F.col("d")).alias("distance"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-MODULES: list = []
+from lessonloom.plans import integrity
+
+MODULES: list = [integrity]
 
 
 def queries() -> dict[str, Callable]:
