@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lessonloom.runtime import materialize, tables
 
-from . import mixing, near_duplicates, packing, reading, site_lines, splitting
+from . import mixing, near_duplicates, packing, reading, scanned, site_lines, splitting
 from .tokens import n_tokens
 
 
@@ -48,6 +48,22 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_pieces(spark, d).filter("piece_no = 1").select("chunk_id")
 
 
+def _scanned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    t = tables(spark, d)
+    title = t("source_documents").filter("document_id IS NOT NULL").groupBy(F.col("document_id").alias("doc")).agg(F.max("display_name").alias("title"))
+    chunks = t("document_chunks").filter("extraction = 'OCR'").select(F.col("chunk_id").alias("rec"), F.col("document_id").alias("doc"), F.col("page_start").alias("first"), F.col("page_end").alias("last"), F.col("normalized_text").alias("text"))
+    pages = t("page_transcriptions").select(F.col("page_id").alias("rec"), F.col("document_id").alias("doc"), F.col("page_number").alias("first"), F.col("page_number").alias("last"), F.col("transcription").alias("text"))
+    return chunks.unionByName(pages).join(title, "doc", "left"), t("word_list")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return scanned.noise_lines(*_scanned(spark, d))
+
+
+def p6_text(spark: SparkSession, d: str) -> DataFrame:
+    return scanned.repaired_texts(*_scanned(spark, d))
+
+
 def _sized(spark: SparkSession, d: str) -> DataFrame:
     """Sizes of all documents in tokens, counted once."""
     docs = tables(spark, d)("documents").select("doc_id", "source", n_tokens(F.col("text")).alias("n_tokens"))
@@ -89,7 +105,7 @@ def p9_profile(spark: SparkSession, d: str) -> DataFrame:
     return reading.profile(p9_levels(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_groups, p5_found, p5_pieces, p7_packed, p7_fill, p8_drawn, p8_shares, p9_found, p9_levels, p9_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_groups, p5_found, p5_pieces, p6_found, p6_text, p7_packed, p7_fill, p8_drawn, p8_shares, p9_found, p9_levels, p9_profile)}
 
 _P1_LINES = """
 rows AS (SELECT DISTINCT source_site, document_id, chunk_id, normalized_text FROM document_chunks WHERE extraction = 'TEXT'),
