@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lessonloom.plans import integrity
+from lessonloom.plans import integrity, study
 
-MODULES: list = [integrity]
+MODULES: list = [integrity, study]
 
 
 def queries() -> dict[str, Callable]:
