@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lessonloom.plans import integrity, study
+from lessonloom.plans import content, integrity, study
 
-MODULES: list = [integrity, study]
+MODULES: list = [integrity, study, content]
 
 
 def queries() -> dict[str, Callable]:
