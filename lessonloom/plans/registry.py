@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lessonloom.plans import content, integrity, study
+from lessonloom.plans import content, integrity, quality, study
 
-MODULES: list = [integrity, study, content]
+MODULES: list = [integrity, study, content, quality]
 
 
 def queries() -> dict[str, Callable]:
