@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lessonloom.plans import content, integrity, quality, study
+from lessonloom.plans import content, integrity, processing, quality, study
 
-MODULES: list = [integrity, study, content, quality]
+MODULES: list = [integrity, study, content, quality, processing]
 
 
 def queries() -> dict[str, Callable]:
