@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lessonloom.plans import content, integrity, processing, quality, study
+from lessonloom.plans import content, integrity, processing, quality, rules, study
 
-MODULES: list = [integrity, study, content, quality, processing]
+MODULES: list = [integrity, study, content, quality, processing, rules]
 
 
 def queries() -> dict[str, Callable]:
