@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lessonloom.functions.hashing import key128
-from lessonloom.functions.text import letter_key, lines, nfc
+from lessonloom.functions.text import lines, nfc
 from lessonloom.runtime import materialize, small
 
 #: Ordinals in a container, fixed by the width of Spark's bitmap aggregates.
@@ -27,13 +27,20 @@ FILL = CONTAINER // 2
 SPARSE = 2048
 
 
-def _lines(rows: DataFrame) -> DataFrame:
-    text = nfc(F.col("text"))
-    at = rows.select("source", "doc", "rec", F.posexplode(lines(text)).alias("pos", "line"))
-    at = at.filter(F.col("line").rlike(r"\p{L}[^\p{L}]+\p{L}+[^\p{L}]+\p{L}"))
-    key = letter_key(F.col("line"))
+def _lines(rows: DataFrame, *, stored: bool = False) -> DataFrame:
+    """(source, doc, rec, line_no, k1, k2) of lines with three words; with ``stored`` also the line as it stands.
+
+    Letters are picked out once per text, not per line; what remains for a line is counting and dropping blanks.
+    """
+    text = rows.withColumn("text", nfc(F.col("text")))
+    text = text.withColumn("letters", F.regexp_replace(F.lower("text"), r"[^\p{L}\n]+", " "))
+    cut = lines(F.col("letters"))
+    each = F.arrays_zip(cut.alias("letters"), lines(F.col("text")).alias("line")) if stored else F.transform(cut, lambda x: F.struct(x.alias("letters")))
+    at = text.select("source", "doc", "rec", F.posexplode(each).alias("pos", "l")).withColumn("words", F.trim("l.letters"))
+    key = F.replace("words", F.lit(" "))
+    at = at.filter(F.length("words") - F.length(key) >= 2)
     k1, k2 = key128(key)
-    return at.select("source", "doc", "rec", (F.col("pos") + 1).cast("bigint").alias("line_no"), "line", k1.alias("k1"), k2.alias("k2"))
+    return at.select("source", "doc", "rec", (F.col("pos") + 1).cast("bigint").alias("line_no"), k1.alias("k1"), k2.alias("k2"), *([F.col("l.line").alias("line")] if stored else []))
 
 
 def document_ordinals(docs: DataFrame, containers: int) -> DataFrame:
@@ -63,13 +70,13 @@ def has_bit(bits, ordinal):
 def repeated_lines(rows: DataFrame, *, source: str = "source_site", document: str = "document_id", record: str = "chunk_id", text: str = "normalized_text", min_documents: int = 5, min_share: int = 50) -> DataFrame:
     """(source, record, line_no) of every line that stands in ``min_documents`` documents and one in ``min_share`` of its source."""
     rows = rows.select(F.col(source).alias("source"), F.col(document).alias("doc"), F.col(record).alias("rec"), F.col(text).alias("text")).filter("source IS NOT NULL AND doc IS NOT NULL")
-    at = _lines(rows.filter("rec IS NOT NULL AND text IS NOT NULL"))
+    own = rows.filter("rec IS NOT NULL AND text IS NOT NULL")
     # A line of n documents has n rows at least: this count only spares the bitmaps of lines that cannot be cases.
-    often = materialize(at.groupBy("source", "k1", "k2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_documents).drop("n"), "often")
+    often = materialize(_lines(own).groupBy("source", "k1", "k2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_documents).drop("n"), "often")
     docs = materialize(rows.select("source", "doc").distinct(), "docs")
     total = docs.groupBy("source").agg(F.count(F.lit(1)).alias("documents"))
     containers = max(1, -(-docs.count() // FILL))
-    found = at.join(small(often), ["source", "k1", "k2"]).select("source", "doc", "rec", "line_no", "k1", "k2", F.xxhash64("line").alias("variant"))
+    found = _lines(own, stored=True).join(small(often), ["source", "k1", "k2"]).select("source", "doc", "rec", "line_no", "k1", "k2", F.xxhash64("line").alias("variant"))
     found = materialize(found.join(document_ordinals(docs, containers), ["source", "doc"]), "occurrences")
     bitmaps = line_bitmaps(found)
     exact = bitmaps.groupBy("source", "k1", "k2").agg(F.sum(F.bitmap_count("bits")).alias("n"))
