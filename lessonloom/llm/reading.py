@@ -35,7 +35,7 @@ _STOP = re.compile(r"[.!?…]+[\"')\]]*\s+(?=[\"'(\[]*([^\W\d_]))")
 _SKIP = re.compile(r"(?m)^\s*(?:#{1,6}\s.*|(?:source|nguồn|url|http)\b.*|\|?\s*[-|: ]+\|?\s*)$", re.I)
 _MARKUP = re.compile(r"<[^<>\n]{1,80}>|&[a-z]{2,6};|https?://\S+")
 _SCHEMA = T.StructType([
-    T.StructField("lang", T.StringType()), T.StructField("n_words", T.IntegerType()), T.StructField("n_sentences", T.IntegerType()),
+    T.StructField("lang", T.StringType()), T.StructField("n_prose", T.IntegerType()), T.StructField("n_words", T.IntegerType()), T.StructField("n_sentences", T.IntegerType()),
     T.StructField("words", T.ArrayType(T.StringType())), T.StructField("counts", T.ArrayType(T.IntegerType())),
 ])
 
@@ -57,29 +57,29 @@ def sentences(text: str) -> list[str]:
     return out
 
 
-def measure(text: str | None) -> tuple[str, int, int, list[str], list[int]]:
-    """(language by its letters, words, sentences, different words that aren't names, their counts)."""
+def measure(text: str | None) -> tuple[str, int, int, int, list[str], list[int]]:
+    """(language by its letters, words in sentences, words in all, sentences, different words that aren't names, their counts)."""
     found = [w for w in (WORD.findall(s) for s in sentences(unicodedata.normalize("NFC", text or ""))) if w]
-    n = sum(map(len, found))
+    n = sum(map(len, found))  # of the sentences; headings and source lines are out
     upper = sum(w[0].isupper() for s in found for w in s)
     shout = upper > 0.6 * n
     words = Counter(w.lower() for s in found for k, w in enumerate(s) if shout or not k or not w[0].isupper())
     letters = sum(map(len, words.elements()))
     lang = "vi" if sum(c > "\x7f" for w, k in words.items() for c in w * k) >= 0.05 * max(1, letters) else "en"
-    return lang, n, len(found), list(words), list(words.values())
+    return lang, n, len((text or "").split()), len(found), list(words), list(words.values())
 
 
 @F.pandas_udf(_SCHEMA)
 def _measured(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for s in batches:
-        yield pd.DataFrame([measure(x) for x in s], columns=["lang", "n_words", "n_sentences", "words", "counts"])
+        yield pd.DataFrame([measure(x) for x in s], columns=["lang", "n_prose", "n_words", "n_sentences", "words", "counts"])
 
 
 def _scores(docs: DataFrame, *, list_share: float) -> DataFrame:
     """(doc_id, source, lang, n_words, sentence_words, unfamiliar) over all documents."""
     rows = docs.filter("doc_id IS NOT NULL").select("doc_id", "source", "lang", "text").dropDuplicates(["doc_id"])
     read = materialize(rows.withColumn("m", _measured("text")).select("doc_id", "source", F.col("lang").alias("stated_lang"), "m.*"), "reading")
-    per_lang = read.filter("n_words > 0").groupBy("lang").agg(F.count(F.lit(1)).alias("documents"))
+    per_lang = read.filter("n_prose > 0").groupBy("lang").agg(F.count(F.lit(1)).alias("documents"))
     frequency = read.select("lang", F.explode("words").alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("df"))
     # At most (average number of different words) / list_share words pass, whatever the corpus's size.
     familiar = frequency.join(per_lang, "lang").filter(F.col("df") >= F.col("documents") * list_share).select("lang", "word", F.lit(True).alias("known"))
@@ -87,7 +87,7 @@ def _scores(docs: DataFrame, *, list_share: float) -> DataFrame:
     unknown = each.join(F.broadcast(familiar), ["lang", "word"], "left_anti").groupBy("doc_id").agg(F.sum("k").alias("unknown"))
     total = F.greatest(F.lit(1), F.aggregate("counts", F.lit(0), lambda a, b: a + b))
     out = read.join(unknown, "doc_id", "left")
-    return out.select("doc_id", "source", "stated_lang", "lang", "n_words", (F.col("n_words") / F.greatest(F.lit(1), "n_sentences")).alias("sentence_words"), (F.coalesce("unknown", F.lit(0)) / total).alias("unfamiliar"))
+    return out.select("doc_id", "source", "stated_lang", "lang", "n_words", (F.col("n_prose") / F.greatest(F.lit(1), "n_sentences")).alias("sentence_words"), (F.coalesce("unknown", F.lit(0)) / total).alias("unfamiliar"))
 
 
 def fit(labelled: list[tuple[float, float, float]]) -> tuple[list[float], list[float]]:
