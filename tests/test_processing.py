@@ -154,3 +154,13 @@ def test_transitions_and_no_ops():
     done = signals.advance(on, "DONE", 14_000)
     assert done.mode == "READY_QUIZ" and signals.advance(done, "WRONG", 15_000).revision == done.revision
     assert signals.advance(done, "unknown", 1) == done
+
+
+def test_composed_form_of_any_text(spark):
+    import unicodedata
+
+    from lessonloom.functions.text import nfc
+
+    texts = ["", "plain", "Tiếng Việt\nhai dòng", unicodedata.normalize("NFD", "Tiếng Việt"), "Å   \U0001f600", "ệ", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", nfc(F.col("t")).alias("c")).collect()
+    assert all(r.c == (None if r.t is None else unicodedata.normalize("NFC", r.t)) for r in rows)
