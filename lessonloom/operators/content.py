@@ -18,8 +18,14 @@ def first_of(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 
 
 def exact_duplicates(rows: DataFrame, key: str, item: str) -> DataFrame:
-    """(key, copies, canonical, items): items that share a digest, canonical the least. Null keys are dropped."""
-    return rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count_distinct(item).alias("copies"), F.min(item).alias("canonical"), F.array_sort(F.collect_set(item)).alias("items"))
+    """(key, copies, canonical): items that share a digest, canonical the least. Null keys are dropped; no list of copies is built."""
+    return rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count_distinct(item).alias("copies"), F.min(item).alias("canonical"))
+
+
+def aliases(rows: DataFrame, key: str, item: str) -> DataFrame:
+    """(item, canonical): each item with the canonical one of its digest, as rows."""
+    one = rows.filter(F.col(key).isNotNull()).select(key, item).distinct()
+    return one.join(exact_duplicates(rows, key, item).select(key, "canonical"), key).select(item, "canonical")
 
 
 def conflicts(rows: DataFrame, key: str, values: list[str]) -> DataFrame:
@@ -91,6 +97,28 @@ def global_number(rows: DataFrame, order: list[str], name: str, *, buckets: int
     return ranged.join(F.broadcast(start), "_p").withColumn(name, F.col("_start") + inside).drop("_p", "_start")
 
 
+def group_number(rows: DataFrame, group: list[str], order: list[str], name: str, *, buckets: int = 64) -> DataFrame:
+    """Numbers from 0 inside groups of any size: numbers over all rows less the group's first one."""
+    g = global_number(rows, [*group, *order], "_n", buckets=buckets)
+    first = g.groupBy(*group).agg(F.min("_n").alias("_f"))
+    return g.join(first, group).withColumn(name, F.col("_n") - F.col("_f")).drop("_n", "_f")
+
+
+def with_previous(rows: DataFrame, group: list[str], order: list[str], columns: list[str], *, buckets: int = 64) -> DataFrame:
+    """Each row with ``columns`` of the row before it in its group as prev_*, null for the first: a join of numbers, no window over a group."""
+    from lessonloom.runtime import materialize
+
+    g = materialize(global_number(rows, [*group, *order], "_n", buckets=buckets), "numbered")
+    before = g.select((F.col("_n") + 1).alias("_n"), *[F.col(c).alias(f"_g_{c}") for c in group], *[F.col(c).alias(f"prev_{c}") for c in columns])
+    j = g.join(before, "_n", "left")
+    same = None
+    for c in group:
+        same = F.col(c).eqNullSafe(F.col(f"_g_{c}")) if same is None else same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    for c in columns:
+        j = j.withColumn(f"prev_{c}", F.when(same, F.col(f"prev_{c}")))
+    return j.drop("_n", *[f"_g_{c}" for c in group])
+
+
 def search(rows: DataFrame, fields: list[str], needle: str) -> DataFrame:
     """Rows in any of whose fields the needle stands, aside from case, marks and spacing; a blank needle finds all."""
     text = F.concat_ws("\n", *[F.array_join(f, "\n") if t.startswith("array") else F.col(f) for f in fields for n, t in rows.dtypes if n == f])

@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
+
+from lessonloom.operators.content import with_previous
 
 DAY = 86_400_000
 #: Days until an item of box 0 to 5 is due, and until a mistake of review box 0 to 3 is (fixed values).
@@ -149,21 +150,27 @@ def next_item(atoms: DataFrame, state: DataFrame, now: int) -> DataFrame:
     return g.select(F.when(F.col("o").isNotNull(), F.col("o.best.atom_id")).otherwise(F.col("a.atom_id")).alias("atom_id"), F.col("o.group_order").alias("group_order"))
 
 
-def mastery_fold(answers: DataFrame) -> DataFrame:
+def mastery_fold(answers: DataFrame, *, slice_ms: int = 6 * 3_600_000) -> DataFrame:
     """(atom_id, mastery, leitner_box, mastered): answers of each atom in time order folded into its progress.
 
-    A right answer adds 0.2 (from 0.1 up to 1) and a box, a wrong one takes 0.15 off and returns to box 1. The fold runs
-    over a sorted array inside the JVM; an atom's answers are one person's and bounded.
+    A right answer adds 0.2 (from 0.1 up to 1) and a box, a wrong one takes 0.15 off and returns to box 1. Each step is
+    min(hi, max(lo, m + a)), and so is any run of steps; slices of time are reduced to (a, lo, hi) first and then to the
+    atom's whole run, so no task holds all answers of a busy atom. Box and status rest on the right answers since the
+    last wrong one, which is a count.
     """
-    seq = answers.groupBy("atom_id").agg(F.array_sort(F.collect_list(F.struct("created_at", "event_id", "correct"))).alias("s"))
-    zero = F.struct(F.lit(0.0).alias("m"), F.lit(1).alias("b"), F.lit(False).alias("d"))
-
-    def step(acc: Column, x: Column) -> Column:
-        up = F.least(F.lit(1.0), F.greatest(F.lit(0.1), acc["m"]) + 0.2)
-        down = F.greatest(F.lit(0.1), acc["m"] - 0.15)
-        return F.when(x["correct"], F.struct(up.alias("m"), F.least(F.lit(5), acc["b"] + 1).alias("b"), (acc["d"] | (up >= 0.8)).alias("d"))).otherwise(F.struct(down.alias("m"), F.lit(1).alias("b"), F.lit(False).alias("d")))
-
-    return seq.select("atom_id", F.aggregate("s", zero, step).alias("f")).select("atom_id", F.round("f.m", 6).alias("mastery"), F.col("f.b").cast("long").alias("leitner_box"), F.col("f.d").alias("mastered"))
+    compose = lambda p, q: F.struct((p["a"] + q["a"]).alias("a"), F.least(q["hi"], F.greatest(q["lo"], p["lo"] + q["a"])).alias("lo"), F.least(q["hi"], F.greatest(q["lo"], p["hi"] + q["a"])).alias("hi"))
+    step = lambda a, lo, hi: F.struct(*[F.lit(v).cast("long").alias(n) for v, n in ((a, "a"), (lo, "lo"), (hi, "hi"))])
+    none = step(0, -(2**40), 2**40)
+    one = F.when(F.col("correct"), step(4, 2 + 4, 20)).otherwise(step(-3, 2, 2**40))  # in twentieths, so sums are exact
+    at = answers.select("atom_id", "created_at", "event_id", "correct", F.floor(F.col("created_at") / slice_ms).alias("slice"), one.alias("f"))
+    fold = lambda c: F.aggregate(F.transform(F.array_sort(c), lambda x: x["f"]), none, compose)
+    slices = at.groupBy("atom_id", "slice").agg(fold(F.collect_list(F.struct("created_at", "event_id", "f"))).alias("f"))
+    whole = slices.groupBy("atom_id").agg(fold(F.collect_list(F.struct("slice", "f"))).alias("f"))
+    wrong = at.groupBy("atom_id").agg(F.max(F.when(~F.col("correct"), F.struct("created_at", "event_id"))).alias("last"))
+    since = F.col("last").isNull() | (F.struct("created_at", "event_id") > F.col("last"))
+    right = at.join(wrong, "atom_id").groupBy("atom_id").agg(F.count_if(since & F.col("correct")).alias("right"))
+    m = F.least("f.hi", F.greatest("f.lo", F.col("f.a")))
+    return whole.join(right, "atom_id").select("atom_id", F.round(m / 20, 6).alias("mastery"), F.least(F.lit(5), 1 + F.col("right")).alias("leitner_box"), ((F.col("right") > 0) & (m >= 16)).alias("mastered"))
 
 
 def round_progress(answers: DataFrame) -> DataFrame:
@@ -173,6 +180,5 @@ def round_progress(answers: DataFrame) -> DataFrame:
 
 def sessions(events: DataFrame) -> DataFrame:
     """Pairs of an off signal (view) and the first on signal (click) after it, per user: (user_id, off_at, on_at)."""
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    e = events.filter(F.col("event_type").isin("view", "click")).withColumn("prev", F.lag("event_type").over(w)).withColumn("prev_ts", F.lag("ts").over(w))
-    return e.filter("event_type = 'click' AND prev = 'view'").select("user_id", "event_id", millis(F.col("prev_ts")).alias("off_at"), millis(F.col("ts")).alias("on_at"))
+    e = with_previous(events.filter(F.col("event_type").isin("view", "click")), ["user_id"], ["ts", "event_id"], ["event_type", "ts"])
+    return e.filter("event_type = 'click' AND prev_event_type = 'view'").select("user_id", "event_id", millis(F.col("prev_ts")).alias("off_at"), millis(F.col("ts")).alias("on_at"))

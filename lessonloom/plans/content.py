@@ -158,7 +158,7 @@ def alt_fallback(spark, d):
 # --- duplicates and sets ---------------------------------------------------------------------------------------
 
 
-@query("SELECT sha256, count(DISTINCT document_id) AS copies, min(document_id) AS canonical, list_sort(list(DISTINCT document_id)) AS items FROM source_documents WHERE sha256 IS NOT NULL GROUP BY sha256")
+@query("SELECT sha256, count(DISTINCT document_id) AS copies, min(document_id) AS canonical FROM source_documents WHERE sha256 IS NOT NULL GROUP BY sha256")
 def exact_dedupe(spark, d):
     return C.exact_duplicates(tables(spark, d)("source_documents").select("sha256", "document_id"), "sha256", "document_id")
 
@@ -166,7 +166,12 @@ def exact_dedupe(spark, d):
 @query("SELECT hash AS text_key, count(DISTINCT doc_id) AS copies, min(doc_id) AS canonical FROM (SELECT sha256(text) AS hash, doc_id FROM documents WHERE text IS NOT NULL) GROUP BY hash HAVING count(DISTINCT doc_id) > 1")
 def text_dedupe(spark, d):
     t = tables(spark, d)("documents").filter("text IS NOT NULL").select(F.sha2(F.col("text").cast("binary"), 256).alias("text_key"), "doc_id")
-    return C.exact_duplicates(t, "text_key", "doc_id").filter("copies > 1").drop("items")
+    return C.exact_duplicates(t, "text_key", "doc_id").filter("copies > 1")
+
+
+@query("SELECT DISTINCT d.document_id, c.canonical FROM source_documents d JOIN (SELECT sha256, min(document_id) AS canonical FROM source_documents WHERE sha256 IS NOT NULL GROUP BY sha256) c USING (sha256)")
+def document_aliases(spark, d):
+    return C.aliases(tables(spark, d)("source_documents").select("sha256", "document_id"), "sha256", "document_id")
 
 
 @query("SELECT mime_type, count(DISTINCT sha256) AS assets, count(DISTINCT illustration_id) AS occurrences, sum(byte_size) AS bytes FROM ills GROUP BY mime_type")
@@ -278,7 +283,7 @@ def excerpt_segments(spark, d):
     c = rows(spark, d, "document_chunks", "chunk_id", "document_id", "page_start", "page_end")
     t = rows(spark, d, "source_documents", "document_id", F.coalesce("display_name", "filename").alias("label"))
     n = c.groupBy("document_id").agg(F.count(F.lit(1)).alias("segments"))
-    out = c.withColumn("segment", F.row_number().over(W.partitionBy("document_id").orderBy("page_start", "page_end", "chunk_id")))
+    out = C.group_number(c, ["document_id"], ["page_start", "page_end", "chunk_id"], "segment").withColumn("segment", F.col("segment") + 1)
     return out.join(n, "document_id").join(t, "document_id").select("chunk_id", "label", "segment", "segments")
 
 
@@ -397,8 +402,8 @@ def order_contiguous(spark, d):
 @query("SELECT document_id, chunk_id, page_start, expected FROM (SELECT document_id, chunk_id, page_start, coalesce(lag(page_end) OVER (PARTITION BY document_id ORDER BY page_start, page_end, chunk_id) + 1, 1) AS expected FROM ch) WHERE page_start > expected")
 def page_gaps(spark, d):
     c = rows(spark, d, "document_chunks", "document_id", "chunk_id", "page_start", "page_end")
-    w = W.partitionBy("document_id").orderBy("page_start", "page_end", "chunk_id")
-    return c.withColumn("expected", F.coalesce(F.lag("page_end").over(w) + 1, F.lit(1))).filter("page_start > expected").select("document_id", "chunk_id", "page_start", "expected")
+    c = C.with_previous(c, ["document_id"], ["page_start", "page_end", "chunk_id"], ["page_end"])
+    return c.withColumn("expected", F.coalesce(F.col("prev_page_end") + 1, F.lit(1))).filter("page_start > expected").select("document_id", "chunk_id", "page_start", "expected")
 
 
 @query("SELECT atom_id, floor((row_number() OVER w - 1) / 4)::BIGINT AS group_no, ntile(3) OVER w AS tile FROM atoms WINDOW w AS (PARTITION BY module_id ORDER BY atom_id)")

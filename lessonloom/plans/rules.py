@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from lessonloom.functions.text import nfc
 from lessonloom.operators import content as C
@@ -141,9 +140,9 @@ def media_batches(spark, d):
 @query("SELECT event_id, user_id FROM (SELECT event_id, user_id, ts, event_type, lag(event_type) OVER w AS pe, lag(ts) OVER w AS pt FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE NOT (pe IS NOT DISTINCT FROM event_type AND ts - pt < INTERVAL 2 HOUR)")
 def repeated_signals_dropped(spark, d):
     """Events without those that repeat the user's previous one within two hours."""
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    e = tables(spark, d)("events").withColumn("pe", F.lag("event_type").over(w)).withColumn("pt", F.lag("ts").over(w))
-    again = F.col("pe").eqNullSafe(F.col("event_type")) & (F.timestamp_diff("MICROSECOND", "pt", "ts") < 7_200_000_000)
+    e = tables(spark, d)("events").select("event_id", "user_id", "event_type", "ts")
+    e = C.with_previous(e, ["user_id"], ["ts", "event_id"], ["event_type", "ts"])
+    again = F.col("prev_event_type").eqNullSafe(F.col("event_type")) & (F.timestamp_diff("MICROSECOND", "prev_ts", "ts") < 7_200_000_000)
     return e.filter(~F.coalesce(again, F.lit(False))).select("event_id", "user_id")
 
 

@@ -242,8 +242,8 @@ def mistake_schedule(spark, d):
     return S.mistakes(_events(spark, d)).select("question_id", "due_at", "review_box", days.alias("next_days"), (F.col("due_at") + days.cast("long") * F.lit(S.DAY)).alias("next_due"))
 
 
-@query("""SELECT atom_id, round(f.m, 6) AS mastery, f.b::BIGINT AS leitner_box, f.d AS mastered FROM (
-SELECT atom_id, list_reduce(list_concat([{'m': 0.0::DOUBLE, 'b': 1, 'd': false, 'c': true}], list_transform(list(correct ORDER BY created_at, event_id), lambda c: {'m': 0.0::DOUBLE, 'b': 0, 'd': false, 'c': c})), lambda a, x: CASE WHEN x.c THEN {'m': least(1.0::DOUBLE, greatest(0.1::DOUBLE, a.m) + 0.2::DOUBLE), 'b': least(5, a.b + 1), 'd': a.d OR least(1.0::DOUBLE, greatest(0.1::DOUBLE, a.m) + 0.2::DOUBLE) >= 0.8, 'c': true} ELSE {'m': greatest(0.1::DOUBLE, a.m - 0.15::DOUBLE), 'b': 1, 'd': false, 'c': true} END) AS f FROM att GROUP BY atom_id)""")
+@query("""SELECT atom_id, round(f.m / 20, 6) AS mastery, f.b::BIGINT AS leitner_box, f.d AS mastered FROM (
+SELECT atom_id, list_reduce(list_concat([{'m': 0, 'b': 1, 'd': false, 'c': true}], list_transform(list(correct ORDER BY created_at, event_id), lambda c: {'m': 0, 'b': 0, 'd': false, 'c': c})), lambda a, x: CASE WHEN x.c THEN {'m': least(20, greatest(2, a.m) + 4), 'b': least(5, a.b + 1), 'd': a.d OR least(20, greatest(2, a.m) + 4) >= 16, 'c': true} ELSE {'m': greatest(2, a.m - 3), 'b': 1, 'd': false, 'c': true} END) AS f FROM att GROUP BY atom_id)""")
 def mastery_fold(spark, d):
     return S.mastery_fold(S.attempts(_events(spark, d)))
 

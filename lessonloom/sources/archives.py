@@ -86,10 +86,16 @@ def archive_members(archives: DataFrame) -> DataFrame:
 
 
 def inventory(members: DataFrame) -> DataFrame:
-    """One row per different file of known kind: first occurrence in scan order as canonical, all others as aliases."""
+    """One row per different file of known kind: first occurrence in scan order as canonical; ``occurrences`` has the others."""
     good = members.filter(F.col("problem").isNull() & F.col("suffix").isin(*SUFFIXES))
-    g = good.groupBy("sha256").agg(F.array_sort(F.collect_list(F.struct("archive", "entry_index", "member"))).alias("at"), F.first("suffix").alias("suffix"), F.max("size").alias("size"))
-    return g.select("sha256", "suffix", "size", F.get("at", F.lit(0))["member"].alias("canonical"), F.transform("at", lambda x: F.concat_ws("/", x["archive"], x["member"])).alias("paths"), F.size("at").alias("occurrences"))
+    first = F.min(F.struct("archive", "entry_index", "member", "suffix", "size"))
+    g = good.groupBy("sha256").agg(first.alias("f"), F.count(F.lit(1)).alias("occurrences"))
+    return g.select("sha256", "f.suffix", "f.size", F.col("f.member").alias("canonical"), "occurrences")
+
+
+def occurrences(members: DataFrame) -> DataFrame:
+    """(sha256, archive, entry_index, path): where each file stands, one row per occurrence."""
+    return members.filter("problem IS NULL").select("sha256", "archive", "entry_index", F.concat_ws("/", "archive", "member").alias("path"))
 
 
 def _targets(z: zipfile.ZipFile, name: str) -> dict[str, str]:
