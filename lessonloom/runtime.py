@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,27 @@ BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 16 << 20
 
 _OWN: dict[str, str] = {}
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once a session, unless their environment has its folder on the path already."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    home = os.path.dirname(package)
+    known = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+    if home in known or (local and os.path.abspath(os.getcwd()) == home) or spark.sparkContext.applicationId in _SHIPPED:
+        return
+    folder = tempfile.mkdtemp(prefix="lessonloom-code-")
+    atexit.register(shutil.rmtree, folder, True)
+    path = f"{folder}/lessonloom.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for at, _, files in os.walk(package):
+            for f in files:
+                if f.endswith(".py"):
+                    z.write(f"{at}/{f}", os.path.relpath(f"{at}/{f}", home))
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(spark.sparkContext.applicationId)
 
 
 def shared_dir(spark: SparkSession) -> str:
