@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 
@@ -43,16 +43,19 @@ def balance(weights: list[int], count: int) -> list[int]:
 
 
 def balanced_parts(groups: DataFrame, key: str, order: str, weight: str, *, target: int = 4, most: int = 5) -> DataFrame:
-    """(key, order, part): the greedy split of every key's ordered groups; a key is one document's part and bounded."""
-    schema = f"{key} string, {order} long, part int"
+    """(key, order, part): the greedy split of every key's ordered groups.
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        n = len(pdf)
-        count = min(most, n, max(1, -(-n // target)))
-        return pd.DataFrame({key: pdf[key], order: pdf[order], "part": balance([max(1, int(w)) for w in pdf[weight]], count)})
+    The split is sequential, so a key's weights travel as one array of numbers; Arrow batches hold many keys.
+    """
 
-    return groups.select(key, F.col(order).cast("long").alias(order), weight).groupBy(key).applyInPandas(one, schema)
+    def parts(weights: list[int]) -> list[int]:
+        n = len(weights)
+        return balance([max(1, w) for w in weights], min(most, n, max(1, -(-n // target))))
+
+    split = F.udf(parts, T.ArrayType(T.IntegerType()), useArrow=True)
+    seq = groups.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("o"), F.col(weight).cast("long").alias("w")))).alias("s"))
+    cut = seq.select(key, F.transform("s", lambda x: x["o"]).alias("o"), split(F.transform("s", lambda x: x["w"])).alias("p"))
+    return cut.select(key, F.explode(F.arrays_zip("o", "p")).alias("x")).select(key, F.col("x.o").alias(order), F.col("x.p").alias("part"))
 
 
 def fixed_groups(rows: DataFrame, key: str, order: list[str], size: int) -> DataFrame:

@@ -6,12 +6,13 @@ in order of time and id; a repeated off signal within ``DEDUPE`` milliseconds of
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import astuple, dataclass, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lessonloom.runtime import shared_dir
@@ -75,28 +76,33 @@ def _signals(events: DataFrame) -> DataFrame:
     return events.select("user_id", "event_id", F.unix_millis(utc(F.col("ts"))).alias("at"), F.try_element_at(F.create_map(*pairs), "event_type").alias("kind")).filter("kind IS NOT NULL")
 
 
-def _fold(s: State, pdf: pd.DataFrame) -> State:
-    for kind, at in pdf.sort_values(["at", "event_id"])[["kind", "at"]].itertuples(index=False):
+def _fold(s: State, signals: Iterable[tuple[str, int]]) -> State:
+    for kind, at in signals:
         if s.mode == "DISABLED":
             s = advance(s, "ENABLE", at)
         s = advance(s, kind, at)
     return s
 
 
+_LAST = T.StructType([T.StructField("mode", T.StringType()), T.StructField("inactive", T.BooleanType()), T.StructField("accepted", T.BooleanType()), T.StructField("revision", T.LongType())])
+
+
 def replayed(events: DataFrame) -> DataFrame:
-    """The last state of every key, as a batch."""
+    """The last state of every key, as a batch: a key's signals travel as one sorted array, many keys to an Arrow batch."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = _fold(State(), pdf)
-        return pd.DataFrame([(pdf["user_id"].iat[0], s.mode, s.inactive, s.accepted, s.revision, len(pdf))], columns=["user_id", "mode", "inactive", "accepted", "revision", "signals"])
+    def last(signals: list) -> tuple:
+        s = _fold(State(), [(x["kind"], x["at"]) for x in signals])
+        return s.mode, s.inactive, s.accepted, s.revision
 
-    return _signals(events).groupBy("user_id").applyInPandas(one, OUT)
+    seq = _signals(events).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("at", "event_id", "kind"))).alias("s"))
+    out = seq.select("user_id", F.udf(last, _LAST, useArrow=True)("s").alias("l"), F.size("s").cast("long").alias("signals"))
+    return out.select("user_id", "l.*", "signals")
 
 
 def _update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     *own, n = state.get if state.exists else (*astuple(State()), 0)
     pdf = pd.concat(list(batches))
-    s = _fold(State(*own), pdf)
+    s = _fold(State(*own), pdf.sort_values(["at", "event_id"])[["kind", "at"]].itertuples(index=False, name=None))
     n += len(pdf)
     state.update((*astuple(s), n))
     yield pd.DataFrame([(key[0], s.mode, s.inactive, s.accepted, s.revision, n)], columns=["user_id", "mode", "inactive", "accepted", "revision", "signals"])
