@@ -68,28 +68,23 @@ def _runs(single: DataFrame, rounds: int = 64) -> tuple[list[DataFrame], DataFra
     A run ends at its first node that isn't in ``single``. Runs into a loop have no end; a loop's nodes are what its
     pointers still hit once the step exceeds the number of nodes under way.
     """
-    at = materialize(single.select("v", F.col("p").alias("t"), F.least("v", "p").alias("least")), "runs")
+    inside = single.select(F.col("v").alias("t"), F.lit(True).alias("live"))
+    at = single.select("v", F.col("p").alias("t"), F.least("v", "p").alias("least")).join(inside, "t", "left")
+    at = materialize(at.select("v", "t", "least", F.coalesce("live", F.lit(False)).alias("live")), "runs")
     levels, step = [at], 1
-    ended = at.join(single.select(F.col("v").alias("t")), "t", "left_anti").select("v", "t")
-    going = materialize(at.join(single.select(F.col("v").alias("t")), "t", "left_semi"), "runs")
-    ends = [ended]
     for _ in range(rounds):
-        n = going.count()
+        n = at.filter("live").count()
         if not n or step > n:
             break
-        ahead = at.select(F.col("v").alias("t"), F.col("t").alias("t2"), F.col("least").alias("l2"))
-        moved = materialize(going.join(ahead, "t").select("v", F.col("t2").alias("t"), F.least("least", "l2").alias("least")), "runs")
-        done = at.join(going.select("v"), "v", "left_anti")
-        at = materialize(moved.unionByName(done), "runs")
+        # A live pointer stands on a node with one link, whose own pointer takes it twice as far.
+        ahead = at.select(F.col("v").alias("t"), F.col("t").alias("t2"), F.col("least").alias("l2"), F.col("live").alias("live2"))
+        moved = at.filter("live").join(ahead, "t").select("v", F.col("t2").alias("t"), F.least("least", "l2").alias("least"), F.col("live2").alias("live"))
+        at = materialize(moved.unionByName(at.filter("NOT live")), "runs")
         levels.append(at)
-        ends.append(moved.join(single.select(F.col("v").alias("t")), "t", "left_anti").select("v", "t"))
-        going = materialize(moved.join(single.select(F.col("v").alias("t")), "t", "left_semi"), "runs")
         step *= 2
+    going = at.filter("live")
     loops = going.select(F.col("t").alias("v")).distinct().join(going.select("v", F.col("least").alias("cycle_id")), "v")
-    out = ends[0]
-    for e in ends[1:]:
-        out = out.unionByName(e)
-    return levels, materialize(out, "ends"), loops
+    return levels, at.filter("NOT live").select("v", "t"), loops
 
 
 def _components(edges: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -207,8 +202,8 @@ def _separate(edges: DataFrame, core_links: int, level: int) -> DataFrame:
     # Links inside a component: every node of the runs they enter belongs to it.
     into = moved.join(comp, "v").join(comp.select(F.col("v").alias("t"), F.col("cycle_id").alias("ct")), "t").filter("cycle_id = ct AND p <> t").select(F.col("p").alias("v"), "cycle_id").distinct()
     marked = materialize(into.join(single.select("v"), "v", "left_semi"), "marked")
-    for hop in reversed(levels):
-        ahead = marked.join(hop.select("v", "t"), "v").select(F.col("t").alias("v"), "cycle_id").join(single.select("v"), "v", "left_semi")
+    for hop in reversed(levels) if not marked.isEmpty() else ():
+        ahead = marked.join(hop.filter("live").select("v", "t"), "v").select(F.col("t").alias("v"), "cycle_id")
         marked = materialize(marked.unionByName(ahead).distinct(), "marked")
     # The least id may lie in a run.
     all_ = comp.unionByName(marked)
