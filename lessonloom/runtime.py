@@ -74,6 +74,15 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, row_bytes: int = 64) -> Dat
     return F.broadcast(df) if n <= rows and n * row_bytes <= BROADCAST_BYTES else df
 
 
+def sampled(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """At most ``rows`` rows, those of the smallest hashes of ``key``; a hash bound first, so tasks don't each send as many."""
+    n = df.count()
+    if n <= rows:
+        return df
+    h = F.pmod(F.xxhash64(key), F.lit(1 << 32))
+    return df.filter(h < int(min(1.0, (1.5 * rows + 100) / n) * (1 << 32))).orderBy(h, key).limit(rows)
+
+
 def tables(spark: SparkSession, sf_dir: str):
     """Reader ``t(name)`` for the parquet tables of one folder."""
     return lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")

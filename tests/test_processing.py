@@ -164,3 +164,12 @@ def test_composed_form_of_any_text(spark):
     texts = ["", "plain", "Tiếng Việt\nhai dòng", unicodedata.normalize("NFD", "Tiếng Việt"), "Å   \U0001f600", "ệ", None]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", nfc(F.col("t")).alias("c")).collect()
     assert all(r.c == (None if r.t is None else unicodedata.normalize("NFC", r.t)) for r in rows)
+
+
+def test_samples_are_bounded_and_stable(spark):
+    from lessonloom.runtime import sampled
+
+    df = spark.range(5000).withColumnRenamed("id", "k")
+    a = sampled(df, "k", 200).collect()
+    assert len(a) == 200 and sorted(a) == sorted(sampled(df.repartition(7), "k", 200).collect())
+    assert sampled(df, "k", 6000).count() == 5000
