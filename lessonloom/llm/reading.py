@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lessonloom.runtime import materialize
+from lessonloom.runtime import materialize, sampled
 
 WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 _LINE = re.compile(r"\n[ \t]*([^\W\d_])")
@@ -115,8 +115,8 @@ def reading_levels(docs: DataFrame, labels: DataFrame, *, list_share: float = 0.
     """
     scores = materialize(_scores(docs, list_share=list_share), "scores")
     mean = labels.filter("doc_id IS NOT NULL AND reading_level BETWEEN 1 AND 5").groupBy("doc_id").agg(F.avg("reading_level").alias("level"))
-    known = scores.filter(F.col("n_words") >= min_words).join(mean, "doc_id").orderBy(F.xxhash64("doc_id")).limit(fit_rows)
-    b, cuts = fit([tuple(r) for r in known.select("unfamiliar", "sentence_words", "level").collect()])
+    known = materialize(scores.filter(F.col("n_words") >= min_words).join(mean, "doc_id").select("doc_id", "unfamiliar", "sentence_words", "level"), "labelled")
+    b, cuts = fit([tuple(r) for r in sampled(known, "doc_id", fit_rows).select("unfamiliar", "sentence_words", "level").collect()])
     score = F.lit(b[0]) + F.lit(b[1]) * F.col("unfamiliar") + F.lit(b[2]) * F.log(F.greatest(F.lit(1.0), "sentence_words"))
     level = F.lit(1) + sum(((F.col("score") >= c).cast("int") for c in cuts), F.lit(0))
     return scores.withColumn("score", score).withColumn("reading_level", F.when(F.col("n_words") >= min_words, level)).select("doc_id", "source", F.col("stated_lang").alias("lang"), "n_words", "sentence_words", "unfamiliar", "score", "reading_level")
