@@ -66,7 +66,7 @@ def _runs(single: DataFrame, rounds: int = 64) -> tuple[list[DataFrame], DataFra
     """For nodes with one link (v, p): the pointers after 1, 2, 4, ... steps, where the runs end (v, t), and their loops (v, cycle_id).
 
     A run ends at its first node that isn't in ``single``. Runs into a loop have no end; a loop's nodes are what its
-    pointers still hit once the step exceeds the number of nodes under way.
+    pointers still hit once no pointer under way can reach an end and the step exceeds their number.
     """
     inside = single.select(F.col("v").alias("t"), F.lit(True).alias("live"))
     at = single.select("v", F.col("p").alias("t"), F.least("v", "p").alias("least")).join(inside, "t", "left")
@@ -74,7 +74,10 @@ def _runs(single: DataFrame, rounds: int = 64) -> tuple[list[DataFrame], DataFra
     levels, step = [at], 1
     for _ in range(rounds):
         n = at.filter("live").count()
-        if not n or step > n:
+        if not n:
+            break
+        # The start of a long run is under way until its pointer has passed the whole of it.
+        if step > n and at.filter("live").join(at.filter("NOT live").select(F.col("v").alias("t")), "t", "left_semi").isEmpty():
             break
         # A live pointer stands on a node with one link, whose own pointer takes it twice as far.
         ahead = at.select(F.col("v").alias("t"), F.col("t").alias("t2"), F.col("least").alias("l2"), F.col("live").alias("live2"))

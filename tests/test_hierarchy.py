@@ -83,3 +83,12 @@ def test_empty_and_repeated(spark):
     df = spark.createDataFrame([("a", ["b"], 2), ("a", ["c"], 1), ("b", [], 1), ("c", [], 1)], "node string, prev array<string>, at int")
     _, edges = H.links(df.withColumn("v", F.lit(1)).withColumn("p", F.lit(2)), node="node", parents="prev", arrival="at")
     assert [tuple(r) for r in edges.collect()] == [("a", "c", 0)]
+
+
+@pytest.mark.parametrize("length", [3, 10, 1000])
+def test_long_run_closes_a_cycle(spark, length):
+    rows = [("m", ["s0000", "x"]), ("x", []), *[(f"s{i:04}", [f"s{i + 1:04}" if i + 1 < length else "m"]) for i in range(length)]]
+    rows += [("o1", ["o2"]), ("o2", ["o1"]), ("q", ["o1"])]
+    _, edges = H.links(spark.createDataFrame(rows, "node string, prev array<string>"), node="node", parents="prev")
+    want = {"m": "m"} | {f"s{i:04}": "m" for i in range(length)}
+    assert {r.v: r.cycle_id for r in H.cycles(edges).collect()} == {v: "m" for v in want} | {"o1": "o1", "o2": "o1"}
