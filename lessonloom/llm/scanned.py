@@ -2,8 +2,8 @@
 
 Three kinds of noise are told apart per line: page furniture (running headers, footers, page numbers), words cut at a
 line's end, and misrecognised words. Boosted trees classify lines by features of the line and its neighbours
-(furniture) and pairs of a line and the next line of prose (joins). Every word that is not in the word list asks for
-corrections: candidates come from an inverted join on character q-grams of the words' shapes (letters that scanners
+(furniture) and pairs of a line and the next line of prose (joins). Every word that is not in the word list is misread;
+for the repaired text it asks for corrections: candidates come from an inverted join on character q-grams of the words' shapes (letters that scanners
 mix up count as one), and boosted trees rank them.
 
 The furniture model is trained on at most ``SAMPLE`` records of the input, labelled by unambiguous signs; the other
@@ -391,12 +391,11 @@ def _corrected(found: DataFrame, one: DataFrame, words: list[str]) -> DataFrame:
 
 def noise_lines(records: DataFrame, word_list: DataFrame) -> DataFrame:
     """(record_id, line_no, noise): running_line, split_word or misread, each once a line."""
-    found, one, words = events(records, word_list)
-    # A word that no candidate is near to is misread all the same: the list holds every right spelling.
-    fixed = _corrected(found, one, words)
-    kinds = found.join(fixed, "word", "left")
+    # A word that no candidate is near to is misread all the same: the list holds every right spelling. So the candidates
+    # decide nothing here; ``repaired_texts`` ranks them.
+    found = events(records, word_list)[0]
     noise = F.when(F.col("kind") == "running", "running_line").when(F.col("kind") == "cut", "split_word").when(F.col("kind") == "unknown", "misread")
-    return kinds.withColumn("noise", noise).filter("noise IS NOT NULL").select(F.col("rec").alias("record_id"), "line_no", "noise").distinct()
+    return found.withColumn("noise", noise).filter("noise IS NOT NULL").select(F.col("rec").alias("record_id"), "line_no", "noise").distinct()
 
 
 def repair(text: str | None, marks: list[tuple[int, str, str | None, int | None, str | None]]) -> str | None:

@@ -48,3 +48,8 @@ def test_empty(spark):
     assert S.noise_lines(records(spark).limit(0), words(spark)).count() == 0
     assert S.noise_lines(records(spark).filter("rec = 'n'"), words(spark)).count() == 0
     assert S.repaired_texts(records(spark).limit(0), words(spark).limit(0)).count() == 0
+
+
+def test_found_noise_builds_no_corrections(spark, monkeypatch):
+    monkeypatch.setattr(S, "_corrected", lambda *_: 1 / 0)
+    assert S.noise_lines(records(spark), words(spark)).filter("noise = 'misread'").count() == 8
