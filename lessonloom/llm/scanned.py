@@ -8,7 +8,7 @@ mix up count as one), and boosted trees rank them.
 
 The furniture model is trained on at most ``SAMPLE`` records of the input, labelled by unambiguous signs; the other
 two on the word list with artificial noise. Everything else covers all records. Repeated headers are counted per
-document over all its records.
+document over all its records; those of few records are known to the pages around them.
 
 Null and blank texts have no noise and repair to themselves. Empty lines are never noise. Repeated rows count once.
 Words of a text are compared in composed, lower-case form. Extra columns are ignored.
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,8 +36,10 @@ from .boosting import Boosted
 SAMPLE = 1500
 #: Records of a document in which a line has to return to count as repeated.
 REPEATED = 3
-#: One in so many of a document's records has to hold a repeated line, so a document of any size has a bounded number of them.
+#: A repeated line that one in so many of a document's records holds is known to all of them, so these are a bounded number.
 OF_RECORDS = 20
+#: Pages of a block; the other repeated lines are known to the blocks they stand in and to those beside them.
+BLOCK = 64
 #: Share of a word's q-grams that a candidate has to hold.
 SHARED = 0.34
 
@@ -285,15 +287,28 @@ def corrections(asked: DataFrame, vocabulary: DataFrame, model: Boosted) -> Data
 # --- operator --------------------------------------------------------------------------------------------------
 
 
-def repeated_heads(records: DataFrame) -> DataFrame:
-    """(doc, heads): letters of the lines that begin with a capital or digit and return in several records of a document."""
-    at = records.select("doc", "rec", F.explode(lines(nfc(F.col("text")))).alias("line"))
+def block_of(first: Column) -> Column:
+    return F.floor(F.coalesce(first, F.lit(0)) / BLOCK).cast("long")
+
+
+def repeated_heads(records: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Letters of the lines that begin with a capital or digit and return in several records of a document.
+
+    (doc, heads) of those in a good share of its records, and (doc, block, near) of the others, if there are any.
+    """
+    at = records.select("doc", "rec", block_of(F.col("first")).alias("block"), F.explode(lines(nfc(F.col("text")))).alias("line"))
     at = at.filter(F.col("line").rlike(r"^[\f\s]*[\p{Lu}\d]") & ~F.trim("line").rlike(r"[.,;:!?]$"))
     key = letter_key(F.col("line"))
-    often = at.select("doc", "rec", key.alias("key")).filter(F.length("key").between(6, 120)).groupBy("doc", "key").agg(F.count_distinct("rec").alias("n")).filter(F.col("n") >= REPEATED)
+    keyed = at.select("doc", "rec", "block", key.alias("key")).filter(F.length("key").between(6, 120))
+    often = keyed.groupBy("doc", "key").agg(F.count_distinct("rec").alias("n")).filter(F.col("n") >= REPEATED)
     sizes = records.groupBy("doc").agg(F.count(F.lit(1)).alias("records"))
-    often = often.join(sizes, "doc").filter(F.col("n") * OF_RECORDS >= F.col("records"))
-    return often.groupBy("doc").agg(F.collect_set("key").alias("heads"))
+    often = materialize(often.join(sizes, "doc").select("doc", "key", (F.col("n") * OF_RECORDS >= F.col("records")).alias("wide")), "often")
+    wide = often.filter("wide").groupBy("doc").agg(F.collect_set("key").alias("heads"))
+    narrow = often.filter("NOT wide").select("doc", "key")
+    if narrow.isEmpty():
+        return wide, None
+    stands = keyed.join(narrow, ["doc", "key"]).select("doc", "key", F.explode(F.sequence(F.col("block") - 1, F.col("block") + 1)).alias("block"))
+    return wide, stands.groupBy("doc", "block").agg(F.collect_set("key").alias("near"))
 
 
 _EVENTS = T.StructType([T.StructField(n, t) for n, t in (("rec", T.StringType()), ("line_no", T.LongType()), ("kind", T.StringType()), ("word", T.StringType()), ("next_line", T.LongType()))])
@@ -356,9 +371,15 @@ def events(records: DataFrame, word_list: DataFrame) -> tuple[DataFrame, DataFra
     if len(words) > 200_000:
         raise ValueError("the word list is meant as a fixed table")
     one = records.filter("rec IS NOT NULL").dropDuplicates(["rec"])
-    heads = materialize(repeated_heads(one), "heads")
+    wide, narrow = repeated_heads(one)
+    heads = materialize(wide, "heads")
+    if narrow is None:
+        one = one.withColumn("near", F.array().cast("array<string>"))
+    else:
+        narrow = materialize(narrow, "near")
+        one = one.withColumn("block", block_of(F.col("first"))).join(small(narrow, row_bytes=4096), ["doc", "block"], "left")
     own = F.array_compact(F.array(F.when(F.length("title") > 0, letter_key(nfc(F.col("title"))))))
-    one = one.join(small(heads, row_bytes=256), "doc", "left").select("rec", "doc", F.coalesce("first", F.lit(0)).alias("first"), F.coalesce("last", "first", F.lit(0)).alias("last"), F.array_union(F.coalesce("heads", F.array().cast("array<string>")), F.coalesce(own, F.array().cast("array<string>"))).alias("heads"), "text")
+    one = one.join(small(heads, row_bytes=256), "doc", "left").select("rec", "doc", F.coalesce("first", F.lit(0)).alias("first"), F.coalesce("last", "first", F.lit(0)).alias("last"), F.array_union(F.array_union(F.coalesce("heads", F.array().cast("array<string>")), F.coalesce("near", F.array().cast("array<string>"))), F.coalesce(own, F.array().cast("array<string>"))).alias("heads"), "text")
     one = materialize(one, "pages")
     page, joins = _models(one, words)
 

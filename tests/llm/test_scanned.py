@@ -53,3 +53,11 @@ def test_empty(spark):
 def test_found_noise_builds_no_corrections(spark, monkeypatch):
     monkeypatch.setattr(S, "_corrected", lambda *_: 1 / 0)
     assert S.noise_lines(records(spark), words(spark)).filter("noise = 'misread'").count() == 8
+
+
+def test_chapter_header_of_a_large_document(spark):
+    page = lambda n: ("Gradient bước học\n" if 40 <= n < 44 else "") + f"the model reads {WORDS[n % 9]}\n{WORDS[n % 7]} near zero."
+    rows = [(f"r{n}", "d", n, n, "Kalmer", page(n)) for n in range(200)]
+    df = spark.createDataFrame(rows, "rec string, doc string, first int, last int, title string, text string")
+    got = {(r.record_id, r.line_no) for r in S.noise_lines(df, words(spark)).filter("noise = 'running_line'").collect()}
+    assert got == {(f"r{n}", 1) for n in range(40, 44)}
