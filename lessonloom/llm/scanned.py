@@ -42,6 +42,8 @@ OF_RECORDS = 20
 BLOCK = 64
 #: Share of a word's q-grams that a candidate has to hold.
 SHARED = 0.34
+#: Letters up to which a candidate one edit away counts whatever it shares: one letter is most of a short word's q-grams.
+SHORT_WORD = 3
 
 HYPHENS = "-­‐‑–¬"
 _CUT = re.compile(rf"([^\W_][^\s]*?)[{HYPHENS}]\s*$")
@@ -273,7 +275,9 @@ def corrections(asked: DataFrame, vocabulary: DataFrame, model: Boosted) -> Data
     left = asked.select("word").distinct().withColumn("g", pairs("word")).withColumn("n", F.size("g")).select("word", "n", F.explode("g").alias("gram"))
     right = vocabulary.select(F.col("word").alias("candidate"), "frequency", pairs("word").alias("g")).withColumn("m", F.size("g")).select("candidate", "frequency", "m", F.explode("g").alias("gram"))
     met = left.join(right, "gram").filter("least(n, m) >= 0.5 * greatest(n, m)").groupBy("word", "candidate").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"), F.first("m").alias("m"), F.first("frequency").alias("frequency"))
-    met = met.withColumn("shared", F.col("k") / F.greatest("n", "m")).filter(F.col("shared") >= SHARED)
+    met = met.withColumn("shared", F.col("k") / F.greatest("n", "m"))
+    short = (F.greatest(F.length("word"), F.length("candidate")) <= SHORT_WORD) & (F.levenshtein("word", "candidate") <= 1)
+    met = met.filter((F.col("shared") >= SHARED) | short)
 
     @F.pandas_udf(T.DoubleType())
     def score(word: pd.Series, candidate: pd.Series, shared: pd.Series, frequency: pd.Series) -> pd.Series:

@@ -61,3 +61,9 @@ def test_chapter_header_of_a_large_document(spark):
     df = spark.createDataFrame(rows, "rec string, doc string, first int, last int, title string, text string")
     got = {(r.record_id, r.line_no) for r in S.noise_lines(df, words(spark)).filter("noise = 'running_line'").collect()}
     assert got == {(f"r{n}", 1) for n in range(40, 44)}
+
+
+def test_short_words_have_candidates(spark):
+    asked = spark.createDataFrame([("ak",), ("gradknt",)], "word string")
+    listed = spark.createDataFrame([("as", 3), ("variance", 2)], "word string, frequency long")
+    assert [(r.word, r.best) for r in S.corrections(asked, listed, S.NO_RANKING).collect()] == [("ak", "as")]
