@@ -1,14 +1,15 @@
 """Noise in text from scanned pages (problem 6).
 
 Three kinds of noise are told apart per line: page furniture (running headers, footers, page numbers), words cut at a
-line's end, and misrecognised words. Boosted trees classify lines by features of the line and its neighbours
-(furniture) and pairs of a line and the next line of prose (joins). Every word that is not in the word list is misread;
-for the repaired text it asks for corrections: candidates come from an inverted join on character q-grams of the words' shapes (letters that scanners
-mix up count as one), and boosted trees rank them.
+line's end, and misrecognised words. Boosted trees classify the pairs a line forms with its neighbours (furniture) and
+the pairs of a line and the next line of prose (joins). Words outside the word list ask for corrections: candidates
+come from an inverted join on character q-grams of the words' shapes (letters that scanners mix up count as one), a
+number's candidate is its reading as digits, and boosted trees rank them. A word is misread if its candidates together
+explain it; one that no candidate explains (a right word the list lacks) is left alone.
 
-The furniture model is trained on at most ``SAMPLE`` records of the input, labelled by unambiguous signs; the other
-two on the word list with artificial noise. Everything else covers all records. Repeated headers are counted per
-document over all its records; those of few records are known to the pages around them.
+All three models learn from artificial noise: the word list with misread shapes, words cut in two, and pages of at most
+``SAMPLE`` records of the input into which furniture was planted. Everything else covers all records. Repeated headers
+are counted per document over all its records; those of few records are known to the pages around them.
 
 Null and blank texts have no noise and repair to themselves. Empty lines are never noise. Repeated rows count once.
 Words of a text are compared in composed, lower-case form. Extra columns are ignored.
@@ -32,8 +33,12 @@ from lessonloom.runtime import materialize, sampled, small
 
 from .boosting import Boosted
 
-#: Records from which the furniture model learns.
+#: Records into which furniture is planted for training.
 SAMPLE = 1500
+#: Chance, by a word's candidates together, from which it is misread.
+MISREAD = 0.2
+#: Records whose lines are classified at once.
+AT_ONCE = 256
 #: Records of a document in which a line has to return to count as repeated.
 REPEATED = 3
 #: A repeated line that one in so many of a document's records holds is known to all of them, so these are a bounded number.
@@ -41,7 +46,7 @@ OF_RECORDS = 20
 #: Pages of a block; the other repeated lines are known to the blocks they stand in and to those beside them.
 BLOCK = 64
 #: Share of a word's q-grams that a candidate has to hold.
-SHARED = 0.34
+SHARED = 0.5
 #: Letters up to which a candidate one edit away counts whatever it shares: one letter is most of a short word's q-grams.
 SHORT_WORD = 3
 
@@ -49,13 +54,18 @@ HYPHENS = "-­‐‑–¬"
 _CUT = re.compile(rf"([^\W_][^\s]*?)[{HYPHENS}]\s*$")
 _DIGIT = r"[0-9OolI|SsBZz]"
 _PAGE = re.compile(rf"^[\W_]*(?:(?:trang|page|tr|pg|p)\W{{0,3}})?{_DIGIT}{{1,4}}(?:\s*(?:/|of|-)\s*{_DIGIT}{{1,4}})?[\W_]*$", re.I)
+_NUMBERED = re.compile(r"^\d+\s{2,}\S+(?: \S+)*$|\|\s*\d+$")
 _LONE_WORD = re.compile(r"^[^\W\d_]+[.,;:!?]*$")
 _EDGE = ".,:;!?()[]{}\"'“”‘’…*#<>«»"
 _NUMBER = re.compile(r"^[+-]?\d+(?:[.,:/]\d+)*%?$")
 _SYMBOLS = re.compile(r"^[^\w|]+$|^\|$")
-#: Shapes that scanners mix up, in the order in which they are folded (fixed values).
-SHAPES = (("rn", "m"), ("ri", "n"), ("nn", "m"), ("li", "h"), ("ll", "u"), ("ii", "u"), ("cl", "d"), ("vv", "w"), ("tl", "h"))
-SINGLES = str.maketrans({"|": "l", "1": "l", "i": "l", "!": "l", "0": "o", "5": "s", "9": "g", "8": "b", "6": "b", "2": "z", "e": "c", "f": "t", "y": "v", "đ": "d", "j": "l"})
+#: Strokes that letters are made of, as scanners see them; letters that are taken for each other have one form (fixed values).
+STROKES = str.maketrans({
+    "m": "rrl", "n": "rl", "h": "ll", "u": "ll", "d": "cl", "w": "vv", "i": "l", "j": "l", "1": "l", "|": "l", "!": "l",
+    "e": "c", "f": "t", "y": "v", "0": "o", "2": "z", "5": "s", "6": "b", "8": "b", "9": "g",
+})
+#: Letters taken for each other one by one (fixed values).
+SINGLES = str.maketrans({"|": "l", "1": "l", "i": "l", "!": "l", "0": "o", "5": "s", "9": "g", "8": "b", "6": "b", "2": "z", "e": "c", "f": "t", "y": "v", "j": "l"})
 
 
 #: Letters that stand for digits (fixed values).
@@ -63,16 +73,13 @@ _DIGITS = str.maketrans("OoQDlI|iZzSsBbgq", "0000111122558899")
 
 
 def plain(word: str) -> str:
-    """Lower case without marks."""
-    return "".join(c for c in unicodedata.normalize("NFD", word.lower()) if not unicodedata.combining(c)).replace("đ", "d")
+    """Lower case without marks and ligatures."""
+    return "".join(c for c in unicodedata.normalize("NFKD", word.lower()) if not unicodedata.combining(c)).replace("đ", "d")
 
 
 def shape(word: str) -> str:
-    """The word as a scanner sees it."""
-    w = plain(word).replace("|", "l").replace("1", "l")
-    for a, b in SHAPES:
-        w = w.replace(a, b)
-    return w.translate(SINGLES)
+    """The word as a scanner sees it, in strokes."""
+    return plain(word).translate(STROKES)
 
 
 def grams(word: str) -> list[str]:
@@ -118,57 +125,109 @@ def key_of(line: str) -> str:
     return "".join(c for c in line.lower() if c.isalpha())
 
 
-def line_features(text: list[str], k: int, first: int, last: int, heads: list[str]) -> list[float]:
-    """Of line ``k``: its form, its place, its neighbours, and how it relates to the document's repeated lines."""
-    line = text[k].strip()
-    key = key_of(line)
-    page = bool(_PAGE.match(line)) and not (_LONE_WORD.match(line) and not line.isdigit())
-    digits = [int(x) for x in re.findall(r"\d{1,4}", line)]
-    near = bool(digits) and any(first - 1 <= x <= last + 1 for x in digits)
-    same = 0.0
-    if len(key) >= 6:
-        if key in heads:
-            same = 2.0
-        elif line.endswith("…") and any(h.startswith(key) for h in heads):
-            same = 2.0
-        else:
-            own = {key[i : i + 3] for i in range(len(key) - 2)}
-            for h in heads:
-                if abs(len(h) - len(key)) <= 0.3 * len(h):
-                    other = {h[i : i + 3] for i in range(len(h) - 2)}
-                    same = max(same, len(own & other) / max(1, len(own | other)))
-    before = next((x.strip() for x in reversed(text[:k]) if x.strip()), "")
-    after = next((x.strip() for x in text[k + 1 :] if x.strip()), "")
-    words = line.split()
-    starts = next((c for c in line if c.isalpha()), "")
-    return [
-        float(page), float(near), same, float(line.endswith("…")), float(line[:1] == "\f" or text[k][:1] == "\f"),
-        float(bool(before) and before[-1] not in ".!?:…"), float(after[:1].islower()), float(line[-1:] in ".;,:!?"),
-        float(starts.isupper()), float(k == 0), float(k == len(text) - 1), float(len(words)), float(line.isupper()),
-        float(sum("." in w for w in words) / max(1, len(words))), float(bool(re.match(r"^\d+\s{2,}\S", line)) or bool(re.search(r"\|\s*\d+$", line))),
-    ]
+def triples(key: str) -> frozenset[str]:
+    return frozenset(key[i : i + 3] for i in range(len(key) - 2))
 
 
-def sure_label(f: list[float]) -> int:
-    """1 furniture, 0 text, -1 unclear, by signs that leave no doubt."""
-    if f[0] or (f[2] == 2.0 and f[8] and not f[7]) or (f[3] and f[8]) or (f[14] and f[8] and f[2] > 0.5):
-        return 1
-    if 0.45 <= f[2] < 2.0 and f[8] and not f[7]:
-        return -1
-    return 0
-
-
-def furniture(model: Boosted | None, text: list[str], first: int, last: int, heads: list[str]) -> list[bool]:
+def likeness(line: str, heads: list[tuple[str, frozenset[str]]]) -> float:
+    """How much a line is one of a document's repeated lines: 2 if it is, or is the start of one before an ellipsis."""
+    key = key_of(line)
+    if len(key) < 6:
+        return 0.0
+    if any(key == h for h, _ in heads) or line.endswith("…") and any(h.startswith(key) for h, _ in heads):
+        return 2.0
+    near = [t for h, t in heads if abs(len(h) - len(key)) <= 0.3 * len(h)]
+    own = triples(key) if near else frozenset()
+    return max((len(own & t) / max(1, len(own | t)) for t in near), default=0.0)
+
+
+def line_features(text: list[str], first: int, last: int, heads: list[str]) -> tuple[list[int], list[list[float]]]:
+    """The lines that are not empty, and of each: the pairs it forms with the line before and behind it, its form and place."""
+    known = [(h, triples(h)) for h in heads]
     at = [k for k, x in enumerate(text) if x.strip()]
-    feats = [line_features(text, k, first, last, heads) for k in at]
-    out = [False] * len(text)
-    if feats:
-        p = model.predict(np.array(feats)) if model else [sure_label(f) == 1 for f in feats]
-        for k, v in zip(at, p):
-            out[k] = bool(v > 0.5)
+    bare = [text[k].strip() for k in at]
+    out = []
+    for i, (k, line) in enumerate(zip(at, bare)):
+        words = line.split()
+        starts = next((c for c in line if c.isalpha()), "")
+        before, after = bare[i - 1] if i else "", bare[i + 1] if i + 1 < len(bare) else ""
+        short = len(words) <= 6
+        page = short and bool(_PAGE.match(line)) and not (_LONE_WORD.match(line) and not line.isdigit())
+        near = short and any(first - 1 <= int(x) <= last + 1 for x in re.findall(r"\d{1,4}", line))
+        same = likeness(line, known) if starts.isupper() or page or short else 0.0
+        out.append([
+            float(page), float(near), same, float(line[-1] == "…"), float(text[k][0] == "\f"),
+            float(bool(before) and before[-1] not in ".!?:…"), float(after[:1].islower()), float(line[-1] in ".;,:!?"),
+            float(starts.isupper()), float(k == 0), float(k == len(text) - 1), float(len(words)), float(line.isupper()),
+            float(sum("." in w for w in words) / max(1, len(words))), float(bool(_NUMBERED.search(line))),
+            float(bool(before) and before[-1] not in ".!?:…" and after[:1].islower()), float(k + 1 < len(text) and not text[k + 1].strip()),
+        ])
+    return at, out
+
+
+def planted(text: list[str], first: int, heads: list[str], title: str, r: np.random.Generator) -> tuple[list[str], list[int]]:
+    """A record's prose with furniture put into it, and 1 for each planted line, 0 for each other.
+
+    Lines that may be furniture already are taken out first. Some prose is made to look like furniture: lines that hold
+    words of the title, and numbers alone at the end of a paragraph.
+    """
+    at, feats = line_features(text, first, first, heads)
+    odd = {k for k, f in zip(at, feats) if f[0] or f[2] >= 0.3 or f[3] or f[4]}
+    rows = [x for k, x in enumerate(text) if k not in odd]
+    for k, x in enumerate(rows):
+        if r.random() < 0.04 and title and len(x.split()) > 4:
+            w, t = x.split(), title.split()
+            n = int(r.integers(1, max(2, len(t))))
+            rows[k] = " ".join([*t[:n], *w[n:]] if r.random() < 0.3 else [*w[: max(1, len(w) - n)], *t[:n]])
+    labels = [0] * len(rows)
+    for k in sorted((int(r.integers(0, len(rows) + 1)) for _ in range(int(r.integers(0, 2)))), reverse=True):
+        if k and rows[k - 1].strip():
+            rows.insert(k, f"{r.integers(2, 900)}." if r.random() < 0.8 else f"{r.random():.4f}")
+            labels.insert(k, 0)
+            rows.insert(k + 1, "")
+            labels.insert(k + 1, 0)
+    spots = [0] * int(r.random() < 0.5) + [len(rows)] * int(r.random() < 0.5) + [int(r.integers(0, len(rows) + 1)) for _ in range(int(r.integers(0, 3)))]
+    for k in sorted(spots, reverse=True):
+        page = first + int(r.integers(-1, 2)) if r.random() < 0.8 else int(r.integers(1, 400))
+        for line in furniture_lines(max(1, page), title, r):
+            rows.insert(k, line)
+            labels.insert(k, 1)
+    return rows, labels
+
+
+def furniture_lines(page: int, title: str, r: np.random.Generator) -> list[str]:
+    """A running title, a page number or both, as printers set and scanners misread them."""
+    n = str(page)
+    if r.random() < 0.1:
+        n = "".join({"0": "O", "1": "l", "5": "S", "8": "B"}.get(c, c) for c in n)
+    numbers = [n, f"— {n}", f"- {n} -", f"   {n}", f"[{n}]", f"Trang {n}", f"Page {n}", f"tr. {n}", f"p. {n}", f"{n}/{page + 20}", f"Trang {n} / {page + 20}", f"Page {n} of {page + 20}"]
+    out = []
+    if title and r.random() < 0.7:
+        head = title
+        if r.random() < 0.2:
+            w = head.split()
+            j = int(r.integers(len(w)))
+            w[j] = noisy(w[j], r)
+            head = " ".join(w)
+        form = r.integers(6)
+        head = head.upper() if form == 1 else f"{n}   {head}" if form == 2 else f"{head} | {n}" if form == 3 else head[: int(r.integers(8, max(9, len(head))))] + "…" if form == 4 else head
+        out.append("\f" + head if r.random() < 0.15 else head)
+    if not out or r.random() < 0.3:
+        out.append(numbers[r.integers(len(numbers))])
     return out
 
 
+def train_furniture(pages: list[tuple[str, int, list[str], str]]) -> Boosted | None:
+    """Trained on (text, first page, repeated lines, title) of records with planted lines; none without any line."""
+    r, x, y = np.random.default_rng(3), [], []
+    for text, first, heads, title in pages:
+        rows, labels = planted(unicodedata.normalize("NFC", text).split("\n"), first, heads, title, r)
+        at, f = line_features(rows, first, first, heads)
+        x += f
+        y += [labels[k] for k in at]
+    return Boosted(trees=40).fit(np.array(x), np.array(y)) if len(set(y)) == 2 else None
+
+
 # --- joins -----------------------------------------------------------------------------------------------------
 
 
@@ -183,17 +242,32 @@ def pair_features(left: str, sep: str, right: str, known: frozenset[str], owned:
     ]
 
 
+#: What scanners make of shapes: (right, misread) (fixed values).
+MISREADINGS = (
+    ("m", "rn"), ("n", "ri"), ("h", "li"), ("h", "b"), ("u", "ii"), ("d", "cl"), ("w", "vv"), ("l", "1"), ("l", "|"), ("l", "i"), ("i", "l"), ("i", "1"), ("o", "0"), ("s", "5"), ("g", "9"), ("e", "c"), ("t", "f"), ("b", "8"),
+    ("b", "6"), ("z", "2"), ("y", "v"), ("rn", "m"), ("ri", "n"), ("cl", "d"), ("ơ", "o'"), ("ư", "u'"), ("0", "o"), ("0", "O"), ("1", "l"), ("1", "I"), ("5", "S"), ("8", "B"),
+)
+_MARKS = "\u0300\u0301\u0302\u0303\u0306\u0309\u0323"
+
+
 def noisy(word: str, r: np.random.Generator) -> str:
-    """A word with one or two shapes misread."""
-    for _ in range(1 + int(r.random() < 0.2)):
-        spots = [(k, a, b) for a, b in (("m", "rn"), ("n", "ri"), ("h", "li"), ("u", "ii"), ("d", "cl"), ("w", "vv"), ("l", "1"), ("l", "|"), ("i", "l"), ("o", "0"), ("s", "5"), ("g", "9"), ("e", "c"), ("t", "f"), ("b", "8"), ("y", "v")) for k in range(len(word)) if word.startswith(a, k)]
+    """A word with one or two shapes misread, or its marks lost, added or changed."""
+    for _ in range(1 + int(r.random() < 0.25)):
+        kind = r.random()
+        vowels = [k for k, c in enumerate(word) if plain(c) in "aeiouy"]
         marks = [k for k, c in enumerate(word) if plain(c) != c]
-        if marks and (not spots or r.random() < 0.5):
+        spots = [(k, a, b) for a, b in MISREADINGS for k in range(len(word)) if word.startswith(a, k)]
+        if marks and kind < 0.25:
+            word = plain(word)
+        elif marks and kind < 0.4:
             k = marks[r.integers(len(marks))]
-            word = word[:k] + plain(word[k]) + word[k + 1 :] if r.random() < 0.7 else "".join(plain(c) for c in word)
+            word = word[:k] + plain(word[k]) + word[k + 1 :]
+        elif vowels and kind < 0.55:
+            k = vowels[r.integers(len(vowels))]
+            word = word[:k] + unicodedata.normalize("NFC", plain(word[k]) + _MARKS[r.integers(len(_MARKS))]) + word[k + 1 :]
         elif spots:
             k, a, b = spots[r.integers(len(spots))]
-            word = word[:k] + b + word[k + len(a) :]
+            word = word.replace(a, b) if r.random() < 0.2 else word[:k] + b + word[k + len(a) :]
     return word
 
 
@@ -226,66 +300,109 @@ def train_joins(words: list[str]) -> Boosted:
 # --- corrections -----------------------------------------------------------------------------------------------
 
 
-def rank_features(word: str, candidate: str, shared: float, frequency: float) -> list[float]:
-    w, c = word.lower(), candidate
-    sw, sc = shape(w), shape(c)
-    n = max(len(sw), len(sc), 1)
+def forms(word: str) -> tuple[str, str, str, str]:
+    """The lower-case word, without marks, in strokes, and with single letters that are taken for each other made one."""
+    w = word.lower()
+    p = plain(w).replace("'", "")
+    return w, p, shape(w), p.translate(SINGLES)
+
+
+def rank_features(a: tuple[str, str, str, str], b: tuple[str, str, str, str], apart: tuple[int, int, int], shared: float, frequency: float) -> list[float]:
+    """Of a word's and a candidate's forms, and the edit distances of the words, their strokes and their single letters."""
+    (w, pw, sw, ow), (c, pc, sc, oc) = a, b
+    n, digits = max(len(w), len(c), 1), sum(x.isdigit() for x in w)
     return [
-        distance(w, c) / max(len(w), len(c), 1), distance(sw, sc) / n, float(sw == sc), float(plain(w) == plain(c)), shared, float(len(w) - len(c)),
-        float(w[:1] == c[:1]), float(w[-1:] == c[-1:]), float(np.log1p(frequency)), float(len(w)), float(sum(a == b for a, b in zip(w, c)) / max(len(w), len(c), 1)),
+        apart[0] / n, apart[1] / max(len(sw), len(sc), 1), float(sw == sc), float(pw == pc), shared, float(len(w) - len(c)), float(w[:1] == c[:1]), float(w[-1:] == c[-1:]), float(np.log1p(frequency)), float(len(w)),
+        float(ow == oc), apart[2] / n, float(apart[0]), float(c[:1].isdigit()), digits / max(1, len(w)), float(pw != w),
     ]
 
 
 #: Ranks by the other fields alone, where there is nothing to learn from.
-NO_RANKING = Boosted(trees=0).fit(np.zeros((2, 11)), np.array([0, 1]))
+NO_RANKING = Boosted(trees=0).fit(np.zeros((2, 16)), np.array([0, 1]))
 
 
 def train_ranking(words: list[str], frequency: dict[str, int]) -> Boosted:
-    """Trained on words of the list with artificial noise against their rivals by shared q-grams."""
+    """Trained on words with artificial noise, and numbers, against their rivals by shared q-grams.
+
+    Every sixth long word without marks is held out: the list does not know it, and no candidate explains it.
+    """
     r, x, y = np.random.default_rng(9), [], []
+    strange = [w for w in words if len(w) >= 5 and plain(w) == w][::6]
+    out = frozenset(strange)
+    listed = [w for w in words if w not in out] or words
+    own = [grams(w) for w in listed]
     index: dict[str, list[int]] = {}
-    own = [grams(w) for w in words]
     for k, g in enumerate(own):
         for q in g:
             index.setdefault(q, []).append(k)
-    weight = np.array([1.0 + frequency.get(w, 0) for w in words]) ** 0.5
-    for k in r.choice(len(words), min(2500, 3 * len(words)), p=weight / weight.sum()):
-        bad = noisy(words[k], r)
-        if bad == words[k]:
-            continue
-        g = grams(bad)
-        counts: dict[int, int] = {}
-        for q in g:
-            for c in index.get(q, ()):
-                counts[c] = counts.get(c, 0) + 1
-        for c, n in sorted(counts.items(), key=lambda t: -t[1])[:8]:
-            x.append(rank_features(bad, words[c], n / max(len(g), len(own[c])), frequency.get(words[c], 0)))
-            y.append(c == k)
-    if not x:
+    at, sizes = {q: np.array(ks) for q, ks in index.items()}, np.array([len(g) for g in own])
+
+    def ask(word: str, answer: str | None) -> None:
+        g = grams(word)
+        hits = [at[q] for q in g if q in at]
+        counts = np.bincount(np.concatenate(hits), minlength=len(listed)) if hits else np.zeros(len(listed))
+        near = np.argsort(-(counts / np.maximum(len(g), sizes)), kind="stable")[:8]
+        read = number_of(word)
+        rivals = [(listed[c], counts[c] / max(len(g), sizes[c]), frequency.get(listed[c], 0)) for c in near if counts[c]] + ([(read, 1.0, 0)] if read else [])
+        a = forms(word)
+        for rival, shared, often in rivals:
+            b = forms(rival)
+            x.append(rank_features(a, b, tuple(distance(a[k], b[k]) for k in (0, 2, 3)), shared, often))
+            y.append(rival == answer)
+
+    weight = np.array([1.0 + frequency.get(w, 0) for w in listed]) ** 0.5
+    known = frozenset(words)
+    for k in r.choice(len(listed), min(3000, 3 * len(listed)), p=weight / weight.sum()):
+        bad = noisy(listed[k], r)
+        if bad.lower() not in known:
+            ask(bad, listed[k])
+    for k in range(400):
+        n = (f"{r.random():.4f}", f"{r.random() * 100:.2f}", str(r.integers(100, 999)))[k % 3]
+        spots = [i for i, c in enumerate(n) if c in "0158"]
+        if spots:
+            i = spots[r.integers(len(spots))]
+            options = {"0": "oO", "1": "lI|", "5": "S", "8": "B"}[n[i]]
+            ask(n[:i] + options[r.integers(len(options))] + n[i + 1 :], n)
+    for w in strange:
+        ask(w, None)
+    if len(set(y)) < 2:
         return NO_RANKING
-    return Boosted(trees=40).fit(np.array(x), np.array(y))
+    return Boosted(trees=60).fit(np.array(x), np.array(y))
 
 
 def corrections(asked: DataFrame, vocabulary: DataFrame, model: Boosted) -> DataFrame:
-    """(word, best, score): for each different word asked for, the candidate that the trees rank first.
+    """(word, best, score, explained) for each different word asked for: the candidate that the trees rank first, and the
+    chance that any of the candidates is right.
 
-    ``asked`` has word; ``vocabulary`` has word, frequency. Both sides meet on their q-grams.
+    ``asked`` has word; ``vocabulary`` (a fixed table of bounded size) has word, frequency. Both sides meet on their
+    q-grams. Words of fewer letters than digits are numbers and have their reading as a candidate only.
     """
     pairs = F.udf(grams, T.ArrayType(T.StringType()), useArrow=True)
-    left = asked.select("word").distinct().withColumn("g", pairs("word")).withColumn("n", F.size("g")).select("word", "n", F.explode("g").alias("gram"))
-    right = vocabulary.select(F.col("word").alias("candidate"), "frequency", pairs("word").alias("g")).withColumn("m", F.size("g")).select("candidate", "frequency", "m", F.explode("g").alias("gram"))
-    met = left.join(right, "gram").filter("least(n, m) >= 0.5 * greatest(n, m)").groupBy("word", "candidate").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"), F.first("m").alias("m"), F.first("frequency").alias("frequency"))
-    met = met.withColumn("shared", F.col("k") / F.greatest("n", "m"))
-    short = (F.greatest(F.length("word"), F.length("candidate")) <= SHORT_WORD) & (F.levenshtein("word", "candidate") <= 1)
-    met = met.filter((F.col("shared") >= SHARED) | short)
+    read = F.udf(number_of, T.StringType(), useArrow=True)
+    in_forms = F.udf(lambda w: None if w is None else list(forms(w)), T.ArrayType(T.StringType()), useArrow=True)
+
+    def table(df: DataFrame, *more: str) -> DataFrame:
+        return materialize(df.select(F.monotonically_increasing_id().alias("id"), "word", in_forms("word").alias("forms"), pairs("word").alias("grams"), *more), "words")
+
+    digits, letters = F.regexp_count("word", F.lit(r"\d")), F.regexp_count("word", F.lit(r"\p{L}"))
+    strange, listed = table(asked.select("word").distinct()), table(vocabulary, "frequency")
+    left = strange.filter(digits <= letters).select(F.col("id").alias("w"), F.size("grams").alias("n"), F.length("word").alias("nl"), F.explode("grams").alias("gram"))
+    right = listed.select(F.col("id").alias("c"), F.size("grams").alias("m"), F.length("word").alias("ml"), F.explode("grams").alias("gram"))
+    met = left.join(small(materialize(right, "grams")), "gram").filter("least(n, m) >= 0.5 * greatest(n, m)").groupBy("w", "c").agg(F.count(F.lit(1)).alias("k"), F.max(F.greatest("n", "m")).alias("of"), F.max(F.greatest("nl", "ml")).alias("long"))
+    met = met.withColumn("shared", F.col("k") / F.col("of")).filter((F.col("shared") >= SHARED) | (F.col("long") <= SHORT_WORD))
+    met = met.join(strange.select(F.col("id").alias("w"), "word", F.col("forms").alias("a")), "w").join(small(listed.select(F.col("id").alias("c"), F.col("word").alias("candidate"), F.col("forms").alias("b"), "frequency")), "c")
+    met = met.filter((F.col("shared") >= SHARED) | (F.levenshtein("word", "candidate") <= 1)).select("word", "candidate", "a", "b", "shared", "frequency")
+    numbers = strange.filter(digits > 0).withColumn("candidate", read("word")).filter("candidate IS NOT NULL").select("word", "candidate", F.col("forms").alias("a"), in_forms("candidate").alias("b"), F.lit(1.0).alias("shared"), F.lit(0).cast("long").alias("frequency"))
+    met = met.unionByName(numbers)
+    apart = [F.levenshtein(F.col("a")[k], F.col("b")[k]) for k in (0, 2, 3)]
 
     @F.pandas_udf(T.DoubleType())
-    def score(word: pd.Series, candidate: pd.Series, shared: pd.Series, frequency: pd.Series) -> pd.Series:
-        return pd.Series(model.predict(np.array([rank_features(*r) for r in zip(word, candidate, shared, frequency)])))
+    def score(a: pd.Series, b: pd.Series, d0: pd.Series, d2: pd.Series, d3: pd.Series, shared: pd.Series, frequency: pd.Series) -> pd.Series:
+        return pd.Series(model.predict(np.array([rank_features(x, y, (p, q, r), s, f) for x, y, p, q, r, s, f in zip(a, b, d0, d2, d3, shared, frequency)])))
 
-    ranked = met.withColumn("score", score("word", "candidate", "shared", "frequency"))
-    best = ranked.groupBy("word").agg(F.max(F.struct("score", "frequency", "candidate")).alias("b"))
-    return best.select("word", F.col("b.candidate").alias("best"), F.col("b.score").alias("score"))
+    ranked = met.withColumn("score", score("a", "b", *apart, "shared", "frequency"))
+    best = ranked.groupBy("word").agg(F.max(F.struct("score", "frequency", "candidate")).alias("b"), F.sum(F.log1p(-F.least(F.col("score"), F.lit(0.9999)))).alias("none"))
+    return best.select("word", F.col("b.candidate").alias("best"), F.col("b.score").alias("score"), (1 - F.exp("none")).alias("explained"))
 
 
 # --- operator --------------------------------------------------------------------------------------------------
@@ -318,51 +435,64 @@ def repeated_heads(records: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 _EVENTS = T.StructType([T.StructField(n, t) for n, t in (("rec", T.StringType()), ("line_no", T.LongType()), ("kind", T.StringType()), ("word", T.StringType()), ("next_line", T.LongType()))])
 
 
-def read_record(text: str, first: int, last: int, heads: list[str], known: frozenset[str], owned: frozenset[str], shapes: frozenset[str], model: Boosted | None, joins: Boosted | None):
-    """Events (line from 0, kind, word, next line): ``running``, ``cut`` (word joined), ``own`` (hyphen kept), ``unknown``."""
-    rows = unicodedata.normalize("NFC", text).split("\n")
-    if not text.strip():
-        return
-    run = furniture(model, rows, first, last, heads)
-    prose = [k for k, x in enumerate(rows) if x.strip() and not run[k]]
-    for k, x in enumerate(run):
-        if x:
-            yield k, "running", None, None
-    skip: dict[int, set[int]] = {}
-    words = {k: tokens(rows[k]) for k in prose}
-    for k, n in zip(prose, prose[1:]):
-        m = _CUT.search(rows[k])
-        if not m or not words[n]:
-            continue
-        left = m.group(1).lstrip(_EDGE)
-        right = words[n][0][2]
-        if not left or not left[-1].isalpha() or not right[:1].isalnum() and right[:1] != "|":
-            continue
-        f = pair_features(left, rows[k].rstrip()[-1], right, known, owned, shapes)
-        cut = joins.predict(np.array([f]))[0] > 0.5 if joins else not (f[1] or f[3] > 0.7)
-        skip.setdefault(k, set()).add(m.start(1) + len(m.group(1)) - len(left))
-        skip.setdefault(n, set()).add(words[n][0][0])
-        yield k, "cut" if cut else "own", (left + ("" if cut else "-") + right).lower(), n
-    for k in prose:
-        for a, _, w in words[k]:
-            if a not in skip.get(k, ()) and not right_word(w, known):
-                yield k, "unknown", w.lower(), None
-
-
-def _models(records: DataFrame, words: list[str]) -> tuple[Boosted | None, Boosted]:
-    rows = sampled(records, "rec", SAMPLE).collect()
-    x, y = [], []
-    for r in rows:
-        text = unicodedata.normalize("NFC", r.text or "").split("\n")
-        for k in range(len(text)):
-            if text[k].strip():
-                f = line_features(text, k, r.first, r.last, list(r.heads or []))
-                label = sure_label(f)
-                if label >= 0:
-                    x.append(f)
-                    y.append(label)
-    page = Boosted(trees=30).fit(np.array(x), np.array(y)) if len(set(y)) == 2 else None
-    return page, train_joins(words)
+class Reader:
+    """Finds the events of records: ``running``, ``cut`` (word joined), ``own`` (hyphen kept), ``unknown`` words."""
+
+    def __init__(self, words: list[str], page: Boosted | None, joins: Boosted):
+        self.known, self.owned = frozenset(words), frozenset(w for w in words if "-" in w)
+        self.shapes = frozenset(shape(w) for w in words)
+        self.page, self.joins = page, joins
+        self.right: dict[str, bool] = {}
+
+    def _strange(self, line: str) -> list[tuple[int, str]]:
+        """(start, word) of the words of a line that may not rightly stand in prose."""
+        right = self.right
+        if len(right) > 500_000:
+            right.clear()
+        odd = False
+        for raw in line.split():
+            ok = right.get(raw)
+            if ok is None:
+                ok = right[raw] = all(right_word(w, self.known) for _, _, w in tokens(raw))
+            odd |= not ok
+        return [(a, w) for a, _, w in tokens(line) if not right_word(w, self.known)] if odd else []
+
+    def read(self, records: list[tuple[str, int, int, list[str], str]]) -> Iterator[tuple[str, int, str, str | None, int | None]]:
+        """(rec, line from 0, kind, word, next line) of all records; the lines, then the line pairs, are classified together."""
+        texts = [unicodedata.normalize("NFC", text or "").split("\n") for *_, text in records]
+        found = [line_features(rows, first, last, heads or []) for rows, (_, first, last, heads, _) in zip(texts, records)]
+        feats = [f for _, fs in found for f in fs]
+        chance = iter(self.page.predict(np.array(feats)) if self.page and feats else np.zeros(len(feats)))
+        prose = []
+        for (rec, *_), (at, _) in zip(records, found):
+            run = [next(chance) > 0.5 for _ in at]
+            prose.append([k for k, x in zip(at, run) if not x])
+            for k, x in zip(at, run):
+                if x:
+                    yield rec, k, "running", None, None
+        skip: dict[tuple[int, int], set[int]] = {}
+        pairs, asked = [], []
+        for i, (rows, own) in enumerate(zip(texts, prose)):
+            for k, n in zip(own, own[1:]):
+                m = _CUT.search(rows[k])
+                after = tokens(rows[n])[:1] if m else None
+                if not after:
+                    continue
+                left, right = m.group(1).lstrip(_EDGE), after[0][2]
+                if not left or not left[-1].isalpha() or not right[:1].isalnum() and right[:1] != "|":
+                    continue
+                pairs.append((i, k, n, left, right))
+                asked.append(pair_features(left, rows[k].rstrip()[-1], right, self.known, self.owned, self.shapes))
+                skip.setdefault((i, k), set()).add(m.start(1) + len(m.group(1)) - len(left))
+                skip.setdefault((i, n), set()).add(after[0][0])
+        for (i, k, n, left, right), p in zip(pairs, self.joins.predict(np.array(asked)) if asked else ()):
+            cut = p > 0.5
+            yield records[i][0], k, "cut" if cut else "own", (left + ("" if cut else "-") + right).lower(), n
+        for i, (rows, own) in enumerate(zip(texts, prose)):
+            for k in own:
+                for a, w in self._strange(rows[k]):
+                    if a not in skip.get((i, k), ()):
+                        yield records[i][0], k, "unknown", w.lower(), None
 
 
 def events(records: DataFrame, word_list: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -383,44 +513,45 @@ def events(records: DataFrame, word_list: DataFrame) -> tuple[DataFrame, DataFra
         narrow = materialize(narrow, "near")
         one = one.withColumn("block", block_of(F.col("first"))).join(small(narrow, row_bytes=4096), ["doc", "block"], "left")
     own = F.array_compact(F.array(F.when(F.length("title") > 0, letter_key(nfc(F.col("title"))))))
-    one = one.join(small(heads, row_bytes=256), "doc", "left").select("rec", "doc", F.coalesce("first", F.lit(0)).alias("first"), F.coalesce("last", "first", F.lit(0)).alias("last"), F.array_union(F.array_union(F.coalesce("heads", F.array().cast("array<string>")), F.coalesce("near", F.array().cast("array<string>"))), F.coalesce(own, F.array().cast("array<string>"))).alias("heads"), "text")
+    none = F.array().cast("array<string>")
+    one = one.join(small(heads, row_bytes=256), "doc", "left").select("rec", F.coalesce("first", F.lit(0)).alias("first"), F.coalesce("last", "first", F.lit(0)).alias("last"), F.array_union(F.array_union(F.coalesce("heads", none), F.coalesce("near", none)), F.coalesce(own, none)).alias("heads"), "title", "text")
     one = materialize(one, "pages")
-    page, joins = _models(one, words)
+    sample = sampled(one, "rec", SAMPLE).collect()
+    page = train_furniture(sorted((r.text, r.first, list(r.heads), unicodedata.normalize("NFC", r.title or "").strip()) for r in sample if r.text and r.text.strip()))
+    reader = one.sparkSession.sparkContext.broadcast((words, page, train_joins(words)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = frozenset(words)
-        owned, shapes = frozenset(w for w in words if "-" in w), frozenset(shape(w) for w in words)
+        own = Reader(*reader.value)
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for rec, first, last, heads, text in zip(*(c.to_pylist() for c in batch.columns)):
-                for k, kind, word, n in read_record(text or "", first, last, heads or [], vocabulary, owned, shapes, page, joins):
-                    for c, v in zip(out, (rec, k + 1, kind, word, None if n is None else n + 1)):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()))], names=_EVENTS.fieldNames())
+            for lo in range(0, batch.num_rows, AT_ONCE):
+                rows = list(zip(*(c.to_pylist() for c in batch.slice(lo, AT_ONCE).columns)))
+                out = [(rec, k + 1, kind, word, None if n is None else n + 1) for rec, k, kind, word, n in own.read(rows)]
+                columns = zip(*out) if out else [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()))], names=_EVENTS.fieldNames())
 
     found = one.select("rec", "first", "last", "heads", "text").mapInArrow(read, _EVENTS)
     return materialize(found, "events"), one, words
 
 
-def _corrected(found: DataFrame, one: DataFrame, words: list[str]) -> DataFrame:
-    spark = found.sparkSession
-    listed = spark.createDataFrame([(w,) for w in words] or [("a",)], "word string")
+def _corrected(asked: DataFrame, one: DataFrame, words: list[str]) -> DataFrame:
+    """Corrections of the words asked for that the list does not hold."""
+    spark = asked.sparkSession
+    listed = spark.createDataFrame([(w,) for w in words], "word string")
     spoken = one.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}][\p{L}-]*"), F.lit(0))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("frequency"))
     vocabulary = materialize(listed.join(spoken, "word", "left").select("word", F.coalesce("frequency", F.lit(0)).alias("frequency")), "vocabulary")
     frequency = {r.word: r.frequency for r in vocabulary.collect()}  # as many rows as the word list
     model = train_ranking(words, frequency) if words else NO_RANKING
-    asked = found.filter("kind IN ('unknown', 'cut', 'own')").select("word").distinct()
-    asked = asked.join(F.broadcast(listed), "word", "left_anti")
-    return corrections(asked, vocabulary, model)
+    return corrections(asked.select("word").distinct().join(F.broadcast(listed), "word", "left_anti"), vocabulary, model)
 
 
 def noise_lines(records: DataFrame, word_list: DataFrame) -> DataFrame:
     """(record_id, line_no, noise): running_line, split_word or misread, each once a line."""
-    # A word that no candidate is near to is misread all the same: the list holds every right spelling. So the candidates
-    # decide nothing here; ``repaired_texts`` ranks them.
-    found = events(records, word_list)[0]
-    noise = F.when(F.col("kind") == "running", "running_line").when(F.col("kind") == "cut", "split_word").when(F.col("kind") == "unknown", "misread")
-    return found.withColumn("noise", noise).filter("noise IS NOT NULL").select(F.col("rec").alias("record_id"), "line_no", "noise").distinct()
+    found, one, words = events(records, word_list)
+    odd = found.filter("kind = 'unknown'")
+    wrong = _corrected(odd, one, words).filter(F.col("explained") >= MISREAD).select("word")
+    misread = odd.join(wrong, "word", "left_semi").select("rec", "line_no", F.lit("misread").alias("noise"))
+    others = found.filter("kind IN ('running', 'cut')").select("rec", "line_no", F.when(F.col("kind") == "cut", "split_word").otherwise("running_line").alias("noise"))
+    return others.unionByName(misread).select(F.col("rec").alias("record_id"), "line_no", "noise").distinct()
 
 
 def repair(text: str | None, marks: list[tuple[int, str, str | None, int | None, str | None]]) -> str | None:
@@ -441,7 +572,7 @@ def repair(text: str | None, marks: list[tuple[int, str, str | None, int | None,
             continue
         out, at = [], 0
         for a, b, w in tokens(x):
-            best = (number_of(w) or fixes[k, w.lower()]) if (k, w.lower()) in fixes else None
+            best = fixes.get((k, w.lower()))
             if best:
                 out += [x[at:a], _cased(w, best)]
                 at = b
@@ -480,6 +611,8 @@ def _cased(old: str, new: str) -> str:
 def repaired_texts(records: DataFrame, word_list: DataFrame) -> DataFrame:
     """(record_id, repaired_text, fixes) of every record."""
     found, one, words = events(records, word_list)
-    marks = found.join(_corrected(found, one, words), "word", "left").groupBy("rec").agg(F.collect_list(F.struct("line_no", "kind", F.col("word"), "next_line", "best")).alias("marks"))
+    asked = found.filter("kind IN ('unknown', 'cut', 'own')").select("word")
+    fixes = _corrected(asked, one, words).filter(F.col("explained") >= MISREAD)
+    marks = found.join(fixes, "word", "left").groupBy("rec").agg(F.collect_list(F.struct("line_no", "kind", F.col("word"), "next_line", "best")).alias("marks"))
     apply = F.udf(lambda text, m: repair(text, [tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in m or []]), T.StringType(), useArrow=True)
     return one.join(marks, "rec", "left").select(F.col("rec").alias("record_id"), apply("text", "marks").alias("repaired_text"), F.coalesce(F.size("marks"), F.lit(0)).alias("fixes"))

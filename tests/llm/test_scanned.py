@@ -50,9 +50,33 @@ def test_empty(spark):
     assert S.repaired_texts(records(spark).limit(0), words(spark).limit(0)).count() == 0
 
 
-def test_found_noise_builds_no_corrections(spark, monkeypatch):
-    monkeypatch.setattr(S, "_corrected", lambda *_: 1 / 0)
-    assert S.noise_lines(records(spark), words(spark)).filter("noise = 'misread'").count() == 8
+def test_misread_words_come_from_ranked_candidates(spark):
+    plan = S.noise_lines(records(spark), words(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert "(gram#" in plan and "ArrowEvalPython [score" in plan and "LeftSemi" in plan
+    rows = [("r", "d", 1, 1, None, "the model reads kubernetes near zeppelin\nand tbe modcl keeps O.25")]
+    df = spark.createDataFrame(rows, "rec string, doc string, first int, last int, title string, text string")
+    assert {(r.line_no, r.noise) for r in S.noise_lines(df, words(spark)).collect()} == {(2, "misread")}
+
+
+def test_right_words_that_the_list_lacks_are_not_explained(spark):
+    known = sorted(set(WORDS))
+    model = S.train_ranking(known, {})
+    asked = spark.createDataFrame([(w,) for w in ("tokyo", "hurricane", "modcl", "rnodel", "trong9", "0.2S", "bươc")], "word string")
+    listed = spark.createDataFrame([(w, 1) for w in known], "word string, frequency long")
+    got = {r.word: r for r in S.corrections(asked, listed, model).collect()}
+    assert all(got[w].explained >= S.MISREAD and got[w].best == b for w, b in (("modcl", "model"), ("rnodel", "model"), ("0.2S", "0.25"), ("bươc", "bước")))
+    assert all(w not in got or got[w].explained < S.MISREAD for w in ("tokyo", "hurricane"))
+
+
+def test_furniture_is_learned_from_planted_lines():
+    r = np.random.default_rng(0)
+    prose = ["the model reads a long line of text and keeps", "its weights near zero. Gradient bước học máy", "250  của  mô  hình  và  huấn  luyện  trọng  số,", "near zero.", "", "With the model"]
+    text, labels = S.planted(prose, 4, ["kalmerbước"], "Kalmer bước", r)
+    assert len(text) == len(labels) and len(text) - sum(labels) >= len(prose)
+    model = S.train_furniture([("\n".join(prose), 4, ["kalmerbước"], "Kalmer bước")] * 200)
+    page = ["KALMER BƯỚC", "the model reads a long line of text and keeps", "— 4", "its weights near zero. Gradient bước học máy", "250  của  mô  hình  và  huấn  luyện  trọng  số,", "near zero."]
+    at, feats = S.line_features(page, 4, 4, ["kalmerbước"])
+    assert [k for k, p in zip(at, model.predict(np.array(feats))) if p > 0.5] == [0, 2]
 
 
 def test_chapter_header_of_a_large_document(spark):
