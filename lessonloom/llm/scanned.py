@@ -17,6 +17,7 @@ Words of a text are compared in composed, lower-case form. Extra columns are ign
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -377,21 +378,34 @@ def corrections(asked: DataFrame, vocabulary: DataFrame, model: Boosted) -> Data
     ``asked`` has word; ``vocabulary`` (a fixed table of bounded size) has word, frequency. Both sides meet on their
     q-grams. Words of fewer letters than digits are numbers and have their reading as a candidate only.
     """
-    pairs = F.udf(grams, T.ArrayType(T.StringType()), useArrow=True)
+    spark = vocabulary.sparkSession
+    grammed = materialize(vocabulary.select("word", "frequency", F.udf(grams, T.ArrayType(T.StringType()), useArrow=True)("word").alias("grams")), "vocabulary")
+    # Both sides share half of the larger one's q-grams or don't meet, so the rarer half of each, by one order, has one in common.
+    seen = grammed.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    order = {r.gram: r.n for r in seen.collect()}  # pairs of letters: a table of bounded size
+    ranks = spark.sparkContext.broadcast(order)
+
+    def rare(word: str) -> list[str]:
+        own = sorted(grams(word), key=lambda q: (ranks.value.get(q, 0), q))
+        return own if len(word) <= SHORT_WORD else own[: len(own) - math.ceil(SHARED * len(own)) + 1]
+
     read = F.udf(number_of, T.StringType(), useArrow=True)
     in_forms = F.udf(lambda w: None if w is None else list(forms(w)), T.ArrayType(T.StringType()), useArrow=True)
+    pairs, rarest = F.udf(grams, T.ArrayType(T.StringType()), useArrow=True), F.udf(rare, T.ArrayType(T.StringType()), useArrow=True)
 
     def table(df: DataFrame, *more: str) -> DataFrame:
-        return materialize(df.select(F.monotonically_increasing_id().alias("id"), "word", in_forms("word").alias("forms"), pairs("word").alias("grams"), *more), "words")
+        return materialize(df.select(F.monotonically_increasing_id().alias("id"), "word", in_forms("word").alias("forms"), pairs("word").alias("grams"), rarest("word").alias("rare"), *more), "words")
 
     digits, letters = F.regexp_count("word", F.lit(r"\d")), F.regexp_count("word", F.lit(r"\p{L}"))
-    strange, listed = table(asked.select("word").distinct()), table(vocabulary, "frequency")
-    left = strange.filter(digits <= letters).select(F.col("id").alias("w"), F.size("grams").alias("n"), F.length("word").alias("nl"), F.explode("grams").alias("gram"))
-    right = listed.select(F.col("id").alias("c"), F.size("grams").alias("m"), F.length("word").alias("ml"), F.explode("grams").alias("gram"))
-    met = left.join(small(materialize(right, "grams")), "gram").filter("least(n, m) >= 0.5 * greatest(n, m)").groupBy("w", "c").agg(F.count(F.lit(1)).alias("k"), F.max(F.greatest("n", "m")).alias("of"), F.max(F.greatest("nl", "ml")).alias("long"))
-    met = met.withColumn("shared", F.col("k") / F.col("of")).filter((F.col("shared") >= SHARED) | (F.col("long") <= SHORT_WORD))
-    met = met.join(strange.select(F.col("id").alias("w"), "word", F.col("forms").alias("a")), "w").join(small(listed.select(F.col("id").alias("c"), F.col("word").alias("candidate"), F.col("forms").alias("b"), "frequency")), "c")
-    met = met.filter((F.col("shared") >= SHARED) | (F.levenshtein("word", "candidate") <= 1)).select("word", "candidate", "a", "b", "shared", "frequency")
+    strange, listed = table(asked.select("word").distinct().repartition(spark.sparkContext.defaultParallelism, "word")), table(grammed, "frequency")
+    left = strange.filter(digits <= letters).select(F.col("id").alias("w"), F.size("grams").alias("n"), F.length("word").alias("nl"), F.explode("rare").alias("gram"))
+    right = listed.select(F.col("id").alias("c"), F.size("grams").alias("m"), F.length("word").alias("ml"), F.explode("rare").alias("gram"))
+    near = (F.least("n", "m") >= SHARED * F.greatest("n", "m")) | (F.greatest("nl", "ml") <= SHORT_WORD)
+    met = left.join(small(materialize(right, "grams")), "gram").filter(near).select("w", "c").distinct()
+    met = met.join(strange.select(F.col("id").alias("w"), "word", F.col("forms").alias("a"), F.col("grams").alias("g")), "w").join(small(listed.select(F.col("id").alias("c"), F.col("word").alias("candidate"), F.col("forms").alias("b"), F.col("grams").alias("h"), "frequency"), row_bytes=512), "c")
+    met = met.withColumn("shared", F.size(F.array_intersect("g", "h")) / F.greatest(F.size("g"), F.size("h")))
+    short = (F.greatest(F.length("word"), F.length("candidate")) <= SHORT_WORD) & (F.levenshtein("word", "candidate") <= 1)
+    met = met.filter((F.col("shared") >= SHARED) | short).select("word", "candidate", "a", "b", "shared", "frequency")
     numbers = strange.filter(digits > 0).withColumn("candidate", read("word")).filter("candidate IS NOT NULL").select("word", "candidate", F.col("forms").alias("a"), in_forms("candidate").alias("b"), F.lit(1.0).alias("shared"), F.lit(0).cast("long").alias("frequency"))
     met = met.unionByName(numbers)
     apart = [F.levenshtein(F.col("a")[k], F.col("b")[k]) for k in (0, 2, 3)]
@@ -538,7 +552,7 @@ def _corrected(asked: DataFrame, one: DataFrame, words: list[str]) -> DataFrame:
     spark = asked.sparkSession
     listed = spark.createDataFrame([(w,) for w in words], "word string")
     spoken = one.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}][\p{L}-]*"), F.lit(0))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("frequency"))
-    vocabulary = materialize(listed.join(spoken, "word", "left").select("word", F.coalesce("frequency", F.lit(0)).alias("frequency")), "vocabulary")
+    vocabulary = materialize(listed.join(spoken, "word", "left").select("word", F.coalesce("frequency", F.lit(0)).alias("frequency")), "spoken")
     frequency = {r.word: r.frequency for r in vocabulary.collect()}  # as many rows as the word list
     model = train_ranking(words, frequency) if words else NO_RANKING
     return corrections(asked.select("word").distinct().join(F.broadcast(listed), "word", "left_anti"), vocabulary, model)
