@@ -1,9 +1,11 @@
 """Lines repeated across the documents of one source (problem 1).
 
-Each line's documents are kept as compressed bitmaps per source: a document has an ordinal inside one of the
-source's containers of 2^15 ordinals, and a line holds, per container, either the sorted ordinals (sparse) or a
-bitmap of 4 KiB (dense). The bitmaps of variants (lines that differ in digits, punctuation, case or spacing) are
-united, cardinalities are exact, and lines are deleted by looking their document up in the bitmap.
+Each line's documents are kept as compressed bitmaps per source: a document has an ordinal inside one of its source's
+containers, and a bitmap holds only those of its words of 64 ordinals that are not zero, one row of eight bytes each, so
+a line of five documents costs five words at most and a dense one an eighth of a byte a document. The bitmaps of
+variants (lines that differ in digits, punctuation, case or spacing) are united word by word, cardinalities are exact
+bit counts, and lines are deleted by looking their document's bit up. Nothing in it is larger than a word, and a hot
+line's words are spread over all tasks.
 
 Nulls: rows without source, document, id or text have no lines (a text of null still counts its document). Empty
 texts have one empty line, which is never a case. Repeated rows change nothing. Extra columns are ignored.
@@ -19,12 +21,10 @@ from lessonloom.functions.hashing import key128
 from lessonloom.functions.text import lines, nfc
 from lessonloom.runtime import materialize, small
 
-#: Ordinals in a container, fixed by the width of Spark's bitmap aggregates.
-CONTAINER = 1 << 15
-#: Documents aimed at per container: half full, so hashing does not overfill one.
-FILL = CONTAINER // 2
-#: Ordinals up to which a container stays a sorted array (2 bytes each, as a bitmap has 4096 bytes).
-SPARSE = 2048
+#: Documents aimed at per container of a source; ordinals are given inside one, so no window holds a whole source.
+FILL = 1 << 14
+#: Ordinals in a word of a bitmap.
+WORD = 64
 
 
 def _lines(rows: DataFrame, *, stored: bool = False) -> DataFrame:
@@ -43,28 +43,26 @@ def _lines(rows: DataFrame, *, stored: bool = False) -> DataFrame:
     return at.select("source", "doc", "rec", (F.col("pos") + 1).cast("bigint").alias("line_no"), k1.alias("k1"), k2.alias("k2"), *([F.col("l.line").alias("line")] if stored else []))
 
 
-def document_ordinals(docs: DataFrame, containers: int) -> DataFrame:
-    """(source, doc, container, ordinal): exact and dense inside (source, container), so no window holds a whole source."""
-    docs = docs.withColumn("container", F.pmod(F.xxhash64("doc"), F.lit(containers)).cast("int"))
-    w = W.partitionBy("source", "container").orderBy("doc")
-    return docs.withColumn("ordinal", F.row_number().over(w) - 1)
+def document_ordinals(docs: DataFrame) -> DataFrame:
+    """(source, doc, container, word, bit): the place of each document in its source's bitmaps, dense inside a container.
+
+    ``docs`` has source, doc, documents (how many the source has); a source has as many containers as it needs.
+    """
+    own = docs.withColumn("container", F.pmod(F.xxhash64("doc"), F.greatest(F.lit(1), F.ceil(F.col("documents") / FILL))).cast("int"))
+    ordinal = F.row_number().over(W.partitionBy("source", "container").orderBy("doc")) - 1
+    own = own.withColumn("ordinal", ordinal)
+    return own.select("source", "doc", "container", F.floor(F.col("ordinal") / WORD).cast("int").alias("word"), (F.col("ordinal") % WORD).cast("int").alias("bit"))
 
 
 def line_bitmaps(occurrences: DataFrame) -> DataFrame:
-    """(source, k1, k2, container, bits): bitmaps of all variants of a line, united per container.
+    """(source, k1, k2, container, word, bits): the words that are not zero of each line's bitmap, all its variants united.
 
-    ``occurrences`` has source, k1, k2, variant, container, ordinal. A group holds at most one container's ordinals.
+    ``occurrences`` has source, k1, k2, variant, container, word, bit. One shuffle serves the bitmaps of the variants and their union.
     """
-    variant = occurrences.groupBy("source", "k1", "k2", "variant", "container").agg(F.sort_array(F.collect_set(F.col("ordinal").cast("smallint"))).alias("few"))
-    dense = variant.filter(F.size("few") > SPARSE).withColumn("o", F.explode("few")).groupBy("source", "k1", "k2", "variant", "container").agg(F.bitmap_construct_agg(F.col("o").cast("bigint")).alias("bits"))
-    sparse = variant.filter(F.size("few") <= SPARSE).withColumn("o", F.explode("few")).groupBy("source", "k1", "k2", "container").agg(F.bitmap_construct_agg(F.col("o").cast("bigint")).alias("bits"))
-    return dense.drop("variant").unionByName(sparse).groupBy("source", "k1", "k2", "container").agg(F.bitmap_or_agg("bits").alias("bits"))
-
-
-def has_bit(bits, ordinal):
-    """Whether a bitmap holds an ordinal."""
-    byte = F.conv(F.hex(F.substring(bits, F.floor(ordinal / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.get(F.array(*[byte.bitwiseAND(F.lit(1 << i)) for i in range(8)]), F.pmod(ordinal, F.lit(8))) != 0
+    at = occurrences.repartition("source", "k1", "k2", "container", "word")
+    bit = F.expr("shiftleft(1L, bit)")
+    variants = at.groupBy("source", "k1", "k2", "variant", "container", "word").agg(F.bit_or(bit).alias("bits"))
+    return variants.groupBy("source", "k1", "k2", "container", "word").agg(F.bit_or("bits").alias("bits"))
 
 
 def repeated_lines(rows: DataFrame, *, source: str = "source_site", document: str = "document_id", record: str = "chunk_id", text: str = "normalized_text", min_documents: int = 5, min_share: int = 50) -> DataFrame:
@@ -74,15 +72,15 @@ def repeated_lines(rows: DataFrame, *, source: str = "source_site", document: st
     # A line of n documents has n rows at least: this count only spares the bitmaps of lines that cannot be cases.
     often = materialize(_lines(own).groupBy("source", "k1", "k2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_documents).drop("n"), "often")
     docs = materialize(rows.select("source", "doc").distinct(), "docs")
-    total = docs.groupBy("source").agg(F.count(F.lit(1)).alias("documents"))
-    containers = max(1, -(-docs.count() // FILL))
+    total = materialize(docs.groupBy("source").agg(F.count(F.lit(1)).alias("documents")), "sources")
+    places = document_ordinals(docs.join(small(total), "source"))
     found = _lines(own, stored=True).join(small(often), ["source", "k1", "k2"]).select("source", "doc", "rec", "line_no", "k1", "k2", F.xxhash64("line").alias("variant"))
-    found = materialize(found.join(document_ordinals(docs, containers), ["source", "doc"]), "occurrences")
-    bitmaps = line_bitmaps(found)
-    exact = bitmaps.groupBy("source", "k1", "k2").agg(F.sum(F.bitmap_count("bits")).alias("n"))
-    cases = exact.join(total, "source").filter((F.col("n") >= min_documents) & (F.col("n") * min_share >= F.col("documents")))
+    found = materialize(found.join(places, ["source", "doc"]), "occurrences")
+    bitmaps = materialize(line_bitmaps(found), "bitmaps")
+    exact = bitmaps.groupBy("source", "k1", "k2").agg(F.sum(F.bit_count("bits")).alias("n"))
+    cases = exact.join(small(total), "source").filter((F.col("n") >= min_documents) & (F.col("n") * min_share >= F.col("documents")))
     kept = bitmaps.join(cases.select("source", "k1", "k2"), ["source", "k1", "k2"])
-    hit = found.join(kept, ["source", "k1", "k2", "container"]).filter(has_bit(F.col("bits"), F.col("ordinal")))
+    hit = found.join(kept, ["source", "k1", "k2", "container", "word"]).filter(F.expr("shiftright(bits, bit) & 1L = 1L"))
     return hit.select("source", "rec", "line_no").distinct()
 
 

@@ -50,7 +50,19 @@ def test_cleaning(spark):
 
 
 def test_bitmaps_of_variants_are_united(spark):
-    occ = spark.range(6000).select(F.lit("s").alias("source"), F.lit(1).alias("k1"), F.lit(2).alias("k2"), (F.col("id") % 2).alias("variant"), (F.col("id") % 2).cast("int").alias("container"), (F.col("id") % 2500).alias("ordinal"))
+    at = lambda o: {"word": F.floor(o / L.WORD).cast("int"), "bit": (o % L.WORD).cast("int")}
+    occ = spark.range(6000).select(F.lit("s").alias("source"), F.lit(1).alias("k1"), F.lit(2).alias("k2"), (F.col("id") % 2).alias("variant"), (F.col("id") % 2).cast("int").alias("container"), *[c.alias(n) for n, c in at(F.col("id") % 2500).items()])
     b = L.line_bitmaps(occ)
-    assert b.agg(F.sum(F.bitmap_count("bits"))).first()[0] == 2500
-    assert b.filter(L.has_bit(F.col("bits"), F.lit(7))).count() + b.filter(L.has_bit(F.col("bits"), F.lit(8))).count() == 2
+    assert b.agg(F.sum(F.bit_count("bits"))).first()[0] == 2500
+    assert b.count() == 2 * 40 and b.filter("word = 0 AND shiftright(bits, 7) & 1L = 1L").count() == 1
+
+
+def test_a_rare_line_costs_few_bytes(spark):
+    docs = spark.range(200_000).select(F.concat(F.lit("d"), "id").alias("doc"), F.when(F.col("id") < 40, "small").otherwise("large").alias("source"))
+    docs = docs.join(docs.groupBy("source").agg(F.count(F.lit(1)).alias("documents")), "source")
+    places = L.document_ordinals(docs)
+    assert places.filter("source = 'small'").agg(F.count_distinct("container", "word")).first()[0] == 1
+    assert places.groupBy("source", "container", "word", "bit").count().filter("count > 1").isEmpty()
+    five = places.filter("source = 'large'").limit(5).select("source", F.lit(1).alias("k1"), F.lit(2).alias("k2"), F.lit(0).alias("variant"), "container", "word", "bit")
+    b = L.line_bitmaps(five)
+    assert b.count() <= 5 and dict(b.dtypes)["bits"] == "bigint"  # forty bytes of bitmap, whatever other documents there are
