@@ -81,6 +81,11 @@ def unsafe_path(c: Column) -> Column:
     return c.startswith("/") | c.rlike(r"^[A-Za-z]:") | F.exists(parts, lambda p: p.isin("", ".", ".."))
 
 
+def link_problem(c: Column) -> Column:
+    """Why an address may not be followed: ``BLANK``, ``SCHEME``, ``HOST`` or ``CREDENTIALS``; null if it may."""
+    return F.when(c.rlike(r"\s"), "BLANK").when(~c.rlike("^https?://"), "SCHEME").when(~c.rlike("^https?://[^/?#]"), "HOST").when(c.rlike("^https?://[^/?#]*@"), "CREDENTIALS")
+
+
 def running_number(rows: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
     """Numbers from 0 inside a group; the group has to be bounded (a lecture, a module), never the whole table."""
     return rows.withColumn(name, (F.row_number().over(W.partitionBy(*group).orderBy(*order)) - 1).cast("long"))
@@ -104,6 +109,27 @@ def group_number(rows: DataFrame, group: list[str], order: list[str], name: str,
     return g.join(first, group).withColumn(name, F.col("_n") - F.col("_f")).drop("_n", "_f")
 
 
+def running_totals(rows: DataFrame, group: list[str], order: list[str], totals: dict[str, str], *, buckets: int = 64) -> DataFrame:
+    """Each row with the sums of columns up to it in its group, however large the group: sums inside range partitions, and of those before."""
+    from lessonloom.runtime import materialize
+
+    ranged = materialize(rows.repartitionByRange(buckets, *group, *order).withColumn("_p", F.spark_partition_id()), "ranged")
+    upto = W.partitionBy("_p", *group).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    before = W.partitionBy(*group).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)  # one row a partition of a group
+    sums = ranged.groupBy("_p", *group).agg(*[F.sum(c).alias(f"_s_{c}") for c in totals])
+    start = sums.select(F.col("_p").alias("_q"), *[F.col(g).alias(f"_g_{g}") for g in group], *[F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in totals])
+    inside = ranged.select(*ranged.columns, *[F.sum(c).over(upto).alias(f"_i_{c}") for c in totals])
+    j = inside.join(start, (inside["_p"] == start["_q"]) & _all([inside[g].eqNullSafe(start[f"_g_{g}"]) for g in group]))
+    return j.select(*rows.columns, *[(F.col(f"_i_{c}") + F.col(f"_b_{c}")).alias(n) for c, n in totals.items()])
+
+
+def _all(conditions: list[Column]) -> Column:
+    out = F.lit(True)
+    for c in conditions:
+        out = out & c
+    return out
+
+
 def with_previous(rows: DataFrame, group: list[str], order: list[str], columns: list[str], *, buckets: int = 64) -> DataFrame:
     """Each row with ``columns`` of the row before it in its group as prev_*, null for the first: a join of numbers, no window over a group."""
     from lessonloom.runtime import materialize

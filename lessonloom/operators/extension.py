@@ -31,6 +31,33 @@ def external(rows: DataFrame, key: str, inputs: list[str], call: Callable[[dict]
     return rows.select(F.col(key).cast("string").alias("_key"), *inputs).mapInArrow(run, "key string, status string, output_json string, error string").withColumnRenamed("key", key)
 
 
+def bisected(rows: DataFrame, key: str, inputs: list[str], call: Callable[[list[dict]], list[dict]], *, size: int = 32) -> DataFrame:
+    """(key, status, output_json, error) of a call on batches: a batch that fails is halved until only its failing rows are left.
+
+    What has succeeded is not asked again; a bad row costs two calls a halving. ``call`` gives one output a row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows_, out = batch.to_pylist(), []
+            todo = [rows_[k : k + size] for k in range(0, len(rows_), size)][::-1]
+            while todo:
+                part = todo.pop()
+                try:
+                    made = call([{c: r[c] for c in inputs} for r in part])
+                    if len(made) != len(part):
+                        raise ValueError(f"{len(made)} outputs for {len(part)} rows")
+                    out += [(r["_key"], "READY", json.dumps(m, ensure_ascii=False, sort_keys=True), None) for r, m in zip(part, made)]
+                except Exception as e:  # noqa: BLE001 - whatever the call raises is its result
+                    if len(part) == 1:
+                        out.append((part[0]["_key"], "FAILED", None, f"{type(e).__name__}: {e}"[:500]))
+                    else:
+                        todo += [part[len(part) // 2 :], part[: len(part) // 2]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.string()) for k in range(4)], names=["key", "status", "output_json", "error"])
+
+    return rows.select(F.col(key).cast("string").alias("_key"), *inputs).mapInArrow(run, "key string, status string, output_json string, error string").withColumnRenamed("key", key)
+
+
 def strict_json_error(text: str | None) -> str | None:
     """Why a text is no strict JSON object: repeated keys and numbers that aren't finite are errors too."""
     if text is None:
@@ -92,9 +119,3 @@ def masked(rows: DataFrame, valid: DataFrame, key: str, title: str, shown: bool)
     ok = valid.select(key).distinct().withColumn("_ok", F.lit(True))
     j = rows.join(ok, key, "left")
     return j.withColumn(title, F.when(F.coalesce("_ok", F.lit(False)) & F.lit(shown), F.col(title))).drop("_ok")
-
-
-def first_fraction(c: Column) -> Column:
-    """(numerator, denominator) of the first fraction of a formula without inner groups; null if there is none."""
-    p = r"\\frac\s*\{([^{}]*)\}\s*\{([^{}]*)\}"
-    return F.when(c.rlike(p), F.struct(F.trim(F.regexp_extract(c, p, 1)).alias("numerator"), F.trim(F.regexp_extract(c, p, 2)).alias("denominator")))

@@ -6,7 +6,9 @@ remains is a small core whose strongly connected components are found directly.
 
 The forest follows each node's first resolvable link. Subtree sizes are summed by doubling; every node's heaviest child
 continues its chain; chains are numbered so that a chain, and a subtree, is an interval. A path is the concatenation of
-the chain segments above the node, of which there are at most log2(n); descendants are the interval behind the node.
+the chain segments above the node, of which there are at most log2(n) whatever its depth; it is kept as these segments
+and written out on request (``paths``). Descendants are the interval behind the node. No chain, path or set of
+children is ever gathered in one row or task.
 
 Links to ids without a row are ignored, as are null ids. Repeated rows of a node are one (the earliest). Nodes that are
 in, or follow, a loop of first links have no root, depth, path or interval. Empty input gives empty results.
@@ -59,6 +61,8 @@ def _climb(up: DataFrame, rounds: int = 64) -> DataFrame:
         at = at.join(above, "a", "left").select("v", F.col("a2").alias("a"), (F.col("dist") + F.coalesce("d2", F.lit(0))).alias("dist"), F.coalesce("t2", "top").alias("top"), "size")
         at = materialize(at.join(below, "v", "left").select("v", "a", "dist", "top", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")), "climb")
         step *= 2
+    else:
+        raise RuntimeError(f"pointers not ended after {rounds} rounds")
     return at.select("v", "top", "dist", "size", F.col("a").isNotNull().alias("loose"))
 
 
@@ -85,6 +89,8 @@ def _runs(single: DataFrame, rounds: int = 64) -> tuple[list[DataFrame], DataFra
         at = materialize(moved.unionByName(at.filter("NOT live")), "runs")
         levels.append(at)
         step *= 2
+    else:
+        raise RuntimeError(f"runs not ended after {rounds} rounds")
     going = at.filter("live")
     loops = going.select(F.col("t").alias("v")).distinct().join(going.select("v", F.col("least").alias("cycle_id")), "v")
     return levels, at.filter("NOT live").select("v", "t"), loops
@@ -170,6 +176,8 @@ def _coloured(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
         real = found.join(same.filter("p = l").select("l").distinct(), "l", "left_semi").select("v", F.col("l").alias("cycle_id"))
         out = real if out is None else out.unionByName(real)
         edges = materialize(edges.join(found.select("v"), "v", "left_anti").join(found.select(F.col("v").alias("p")), "p", "left_anti"), "edges")
+    else:
+        raise RuntimeError(f"components not finished after {rounds} rounds")
     return out if out is not None else edges.select("v", F.col("p").alias("cycle_id"))
 
 
@@ -215,7 +223,9 @@ def _separate(edges: DataFrame, core_links: int, level: int) -> DataFrame:
 
 
 def hierarchy(nodes: DataFrame, edges: DataFrame, *, core_links: int = CORE_LINKS) -> DataFrame:
-    """(v, parent, root, depth, path, descendants, enter, leave, heavy_head, cycle_id), one row per node.
+    """(v, parent, root, depth, segments, descendants, enter, leave, heavy_head, pos, cycle_id), one row per node.
+
+    ``segments`` is the path as (head, upto) pairs: of each chain from its head to the node at that place.
 
     ``nodes`` has v, ``edges`` v, p, pos. The descendants of a node are the nodes of its root with enter above the node's
     own and up to its leave.
@@ -237,23 +247,35 @@ def hierarchy(nodes: DataFrame, edges: DataFrame, *, core_links: int = CORE_LINK
     offset = light.withColumn("inside", inside).join(parts, ["a", "part"]).select(F.col("v").alias("head"), F.col("a").alias("attach"), (1 + F.col("heavy_size") + F.col("before") + F.col("inside")).alias("offset"))
     offset = offset.join(chain.select(F.col("v").alias("attach"), F.col("head").alias("on"), F.col("pos").alias("on_pos")), "attach")
     offset = materialize(offset, "offsets")
-    segment = materialize(chain.groupBy("head").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("nodes")), "segments")
-    done = materialize(tree.filter("a IS NULL").select(F.col("v").alias("head"), F.lit(0).cast("long").alias("start"), F.array().cast("array<string>").alias("above")), "placed")
+    done = materialize(tree.filter("a IS NULL").select(F.col("v").alias("head"), F.lit(0).cast("long").alias("start"), F.array().cast("array<struct<head:string,upto:bigint>>").alias("above")), "placed")
     placed = [done]
-    while True:
-        nxt = offset.join(done.select(F.col("head").alias("on"), "start", "above"), "on").join(segment.select(F.col("head").alias("on"), "nodes"), "on")
-        done = materialize(nxt.select("head", (F.col("start") + F.col("on_pos") + F.col("offset")).alias("start"), F.concat("above", F.slice("nodes", F.lit(1), (F.col("on_pos") + 1).cast("int"))).alias("above")), "placed")
+    for _ in range(64):  # a light link at least halves the subtree
+        nxt = offset.join(done.select(F.col("head").alias("on"), "start", "above"), "on")
+        done = materialize(nxt.select("head", (F.col("start") + F.col("on_pos") + F.col("offset")).alias("start"), F.array_append("above", F.struct(F.col("on").alias("head"), F.col("on_pos").alias("upto"))).alias("above")), "placed")
         if done.isEmpty():
             break
         placed.append(done)
     all_placed = placed[0]
     for d in placed[1:]:
         all_placed = all_placed.unionByName(d)
-    at = tree.join(chain, "v").join(all_placed, "head").join(segment, "head")
-    at = at.select("v", F.col("top").alias("root"), F.col("dist").alias("depth"), F.concat("above", F.slice("nodes", F.lit(1), (F.col("pos") + 1).cast("int"))).alias("path"), (F.col("size") - 1).alias("descendants"), (F.col("start") + F.col("pos")).alias("enter"), (F.col("start") + F.col("pos") + F.col("size") - 1).alias("leave"), F.col("head").alias("heavy_head"))
+    at = tree.join(chain, "v").join(all_placed, "head")
+    at = at.select("v", F.col("top").alias("root"), F.col("dist").alias("depth"), F.array_append("above", F.struct("head", F.col("pos").alias("upto"))).alias("segments"), (F.col("size") - 1).alias("descendants"), (F.col("start") + F.col("pos")).alias("enter"), (F.col("start") + F.col("pos") + F.col("size") - 1).alias("leave"), F.col("head").alias("heavy_head"), "pos")
     return up.withColumnRenamed("a", "parent").join(at, "v", "left").join(cycles(edges, core_links=core_links), "v", "left")
 
 
+def paths(tree: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(v, path): the nodes from the root to v, written out from the chain segments, of all nodes or those ``wanted`` (v).
+
+    The result has as many elements as the depths add up to; ask for what is needed of a deep tree.
+    """
+    asked = tree.filter("segments IS NOT NULL").select("v", "segments")
+    asked = asked if wanted is None else asked.join(wanted.select("v").distinct(), "v", "left_semi")
+    each = asked.select("v", F.posexplode("segments").alias("k", "s")).select("v", "k", F.col("s.head").alias("head"), F.col("s.upto").alias("upto"))
+    chain = tree.filter("heavy_head IS NOT NULL").select(F.col("heavy_head").alias("head"), "pos", F.col("v").alias("node"))
+    nodes = each.join(chain, "head").filter("pos <= upto")
+    return nodes.groupBy("v").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "pos", "node"))), lambda x: x["node"]).alias("path"))
+
+
 def descendants(tree: DataFrame, *, block: int = 1 << 16) -> DataFrame:
     """(ancestor, descendant, distance): every node below another, read off the intervals."""
     own = tree.filter("root IS NOT NULL")

@@ -73,23 +73,27 @@ class CountRule:
     severity: str = "ERROR"
 
 
+def _asked(ids: Column, target: str, r: ReferenceRule) -> Column:
+    return F.transform(ids, lambda x: F.struct(F.lit(r.code).alias("code"), F.lit(r.severity).alias("severity"), F.lit(target).alias("target"), x.cast("string").alias("ref")))
+
+
 def issues(tables: dict[str, DataFrame], keys: dict[str, str], rules: list) -> DataFrame:
     """All issues of ``rules``; ``keys`` names each table's record key. A path is ``table:key``."""
     out: list[DataFrame] = []
     path = lambda t, c=None: F.concat(F.lit(f"{t}:"), F.coalesce((c if c is not None else F.col(keys[t])).cast("string"), F.lit("")))
     row: dict[str, list[RowRule]] = {}
+    refs: dict[str, list[tuple[str, ReferenceRule]]] = {}
+    wanted: dict[str, DataFrame] = {}
+    unique: dict[str, list[UniqueRule]] = {}
     for r in rules:
         if isinstance(r, RowRule):
             row.setdefault(r.table, []).append(r)
         elif isinstance(r, UniqueRule):
-            g = tables[r.table].select(r.value.cast("string").alias("v"), keys[r.table]).filter("v IS NOT NULL").groupBy("v").agg(F.count_distinct(keys[r.table]).alias("n")).filter("n > 1")
-            out.append(g.select(F.lit(r.code).alias("code"), path(r.table, F.col("v")).alias("path"), F.col("n").cast("string").alias("detail"), F.lit(r.severity).alias("severity")))
+            unique.setdefault(r.table, []).append(r)
         elif isinstance(r, ReferenceRule):
-            t = tables[r.table]
-            ids = F.explode(F.array_distinct(r.field)) if dict(t.dtypes)[r.field].startswith("array") else F.col(r.field)
-            refs = t.select(path(r.table).alias("path"), ids.alias("ref")).filter("ref IS NOT NULL").distinct()
-            lost = refs.join(tables[r.target].select(r.target_key.alias("ref")).filter("ref IS NOT NULL").distinct(), "ref", "left_anti")
-            out.append(lost.select(F.lit(r.code).alias("code"), "path", F.col("ref").alias("detail"), F.lit(r.severity).alias("severity")))
+            name = f"{r.target}|{r.target_key}"
+            refs.setdefault(r.table, []).append((name, r))
+            wanted[name] = tables[r.target].select(F.lit(name).alias("target"), r.target_key.alias("ref"))
         elif isinstance(r, MatchRule):
             other = tables[r.target].select(r.target_key.alias("_k"), *[c.alias(f"t_{n}") for n, c in r.keep.items()]).distinct()
             j = tables[r.table].withColumn("_k", F.col(r.field)).join(other, "_k").filter(r.broken)
@@ -102,6 +106,21 @@ def issues(tables: dict[str, DataFrame], keys: dict[str, str], rules: list) -> D
             out.append(j.select(F.lit(r.code).alias("code"), path(r.table).alias("path"), F.col("n").cast("string").alias("detail"), F.lit(r.severity).alias("severity")))
         else:
             raise TypeError(type(r))
+    # All references of a table are read in one pass, and those of all tables met with all targets in one join.
+    if refs:
+        asked = []
+        for table, own in refs.items():
+            t = tables[table]
+            each = [_asked(F.col(r.field) if dict(t.dtypes)[r.field].startswith("array") else F.array(r.field), n, r) for n, r in own]
+            none = F.array().cast("array<struct<code:string,severity:string,target:string,ref:string>>")
+            asked.append(t.select(path(table).alias("path"), F.explode(F.concat(*[F.coalesce(e, none) for e in each])).alias("x")).select("path", "x.*"))
+        every = reduce(DataFrame.unionByName, asked).filter("ref IS NOT NULL").distinct()
+        there = reduce(DataFrame.unionByName, wanted.values()).filter("ref IS NOT NULL").distinct()
+        out.append(every.join(there, ["target", "ref"], "left_anti").select("code", "path", F.col("ref").alias("detail"), "severity"))
+    for table, own in unique.items():
+        each = F.array(*[F.struct(F.lit(r.code).alias("code"), F.lit(r.severity).alias("severity"), r.value.cast("string").alias("v")) for r in own])
+        g = tables[table].select(keys[table], F.explode(each).alias("x")).filter("x.v IS NOT NULL").groupBy("x.code", "x.severity", "x.v").agg(F.count_distinct(keys[table]).alias("n")).filter("n > 1")
+        out.append(g.select("code", path(table, F.col("v")).alias("path"), F.col("n").cast("string").alias("detail"), "severity"))
     for table, own in row.items():
         each = F.array_compact(F.array(*[F.when(r.broken, F.struct(F.lit(r.code).alias("code"), (r.detail.cast("string") if r.detail is not None else F.lit(None).cast("string")).alias("detail"), F.lit(r.severity).alias("severity"))) for r in own]))
         out.append(tables[table].select(path(table).alias("path"), F.explode(each).alias("i")).select("i.code", "path", "i.detail", "i.severity").distinct())

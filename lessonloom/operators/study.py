@@ -26,6 +26,21 @@ def local_day(ms: Column, offset_hours: int) -> Column:
     return F.date_add(F.lit("1970-01-01").cast("date"), F.floor((ms + F.lit(offset_hours * 3_600_000)) / F.lit(DAY)).cast("int"))
 
 
+def zone_day(ms: Column, zone: str) -> Column:
+    """The date of epoch milliseconds in a zone, whatever the session's own is."""
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), _utc_clock(ms)).cast("date")
+
+
+def zone_midnight(ms: Column, zone: str) -> Column:
+    """Epoch milliseconds at which that date began in the zone."""
+    began = F.convert_timezone(F.lit(zone), F.lit("UTC"), F.date_trunc("day", F.convert_timezone(F.lit("UTC"), F.lit(zone), _utc_clock(ms))).cast("timestamp_ntz"))
+    return F.floor(F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), began) / 1000)
+
+
+def _utc_clock(ms: Column) -> Column:
+    return F.timestamp_add("SECOND", F.floor(ms / 1000).cast("int"), F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"))
+
+
 def is_due(due: Column, now: int) -> Column:
     return due.between(1, now)
 
@@ -90,12 +105,12 @@ def activity_days(answers: DataFrame, lessons: DataFrame, today: str, *, days: i
 
 
 def activity_totals(days: DataFrame) -> DataFrame:
-    """Totals, means over all days, truncated accuracy, and the run of active days that ends today."""
+    """Totals, means over all days, today's truncated accuracy, and the run of active days that ends today."""
     n = F.count(F.lit(1))
     last = F.max("day")
     idle = F.max(F.when((F.col("answered") == 0) & (F.col("lessons") == 0), F.col("day")))
-    g = days.agg(n.alias("n"), F.sum("answered").alias("answered"), F.sum("wrong").alias("wrong"), F.sum("lessons").alias("lessons"), F.max("answered").alias("most"), last.alias("last"), idle.alias("idle"))
-    accuracy = F.when(F.col("answered") > 0, F.floor((F.col("answered") - F.col("wrong")) * 100 / F.col("answered"))).otherwise(0)
+    g = days.agg(n.alias("n"), F.sum("answered").alias("answered"), F.sum("wrong").alias("wrong"), F.sum("lessons").alias("lessons"), F.max("answered").alias("most"), F.max(F.struct("day", "answered", "wrong")).alias("today"), last.alias("last"), idle.alias("idle"))
+    accuracy = F.when(F.col("today.answered") > 0, F.floor((F.col("today.answered") - F.col("today.wrong")) * 100 / F.col("today.answered"))).otherwise(0)
     return g.select("answered", "wrong", "lessons", (F.col("answered") / F.col("n")).alias("mean_answers"), accuracy.cast("long").alias("accuracy"), F.when(F.col("idle").isNull(), F.col("n")).otherwise(F.datediff("last", "idle")).cast("long").alias("streak"), F.greatest(F.lit(1), "most", F.ceil(F.col("answered") / F.col("n"))).cast("long").alias("chart_top"))
 
 

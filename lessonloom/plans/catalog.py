@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lessonloom.functions.hashing import stable_id
 from lessonloom.operators import extension as E
+from lessonloom.operators.texts import fraction
 from lessonloom.plans.content import _VIEWS, rows
 from lessonloom.runtime import tables
 
@@ -23,12 +24,17 @@ def query(sql: str | None = None):
     return add
 
 
-@query("SELECT a.document_id, count(DISTINCT b.document_id) AS matches FROM docs a JOIN docs b ON b.filename = a.filename OR (b.document_id = a.document_id) WHERE a.filename IS NOT NULL GROUP BY a.document_id")
+@query("SELECT a.document_id, count(DISTINCT b.document_id) AS matches FROM docs a JOIN docs b ON b.filename = a.filename OR ends_with(b.filename, ' - ' || a.filename) WHERE a.filename IS NOT NULL GROUP BY a.document_id")
 def name_matches(spark, d):
-    """How many documents a file name stands for; one is the wish."""
-    t = rows(spark, d, "source_documents", "document_id", "filename").filter("filename IS NOT NULL")
-    n = t.groupBy("filename").agg(F.count_distinct("document_id").alias("matches"))
-    return t.select("document_id", "filename").distinct().join(n, "filename").select("document_id", "matches")
+    """How many documents a file name stands for, by the whole name or by what follows a " - "; one is the wish.
+
+    A name with several such marks is found under each of its ends, so the join stays an equality.
+    """
+    t = rows(spark, d, "source_documents", "document_id", "filename").filter("filename IS NOT NULL").distinct()
+    cuts = F.split("filename", " - ")
+    ends = F.transform(F.sequence(F.lit(1), F.size(cuts)), lambda k: F.array_join(F.slice(cuts, k, F.size(cuts)), " - "))
+    n = t.select("document_id", F.explode(ends).alias("filename")).groupBy("filename").agg(F.count_distinct("document_id").alias("matches"))
+    return t.select("document_id", "filename").join(n, "filename").select("document_id", "matches")
 
 
 @query("SELECT 'atoms' AS side, count(*) AS n FROM (SELECT unnest(source_ref_ids) FROM atoms EXCEPT ALL SELECT unnest(source_ref_ids) FROM les) UNION ALL SELECT 'lessons', count(*) FROM (SELECT unnest(source_ref_ids) FROM les EXCEPT ALL SELECT unnest(source_ref_ids) FROM atoms)")
@@ -160,7 +166,7 @@ def masked_titles(spark, d):
     return E.masked(t, ok, "pair_id", "title", True).select("lesson_id", "title")
 
 
-@query()
+@query(r"SELECT lesson_id, CASE WHEN n > 2 THEN 'READY' ELSE 'FAILED' END AS status, '{\"n\": ' || n || '}' AS output_json, CASE WHEN n > 2 THEN NULL ELSE 'TOO_SHORT' END AS error FROM (SELECT DISTINCT lesson_id, len(regexp_extract_all(coalesce(title, ''), '\S+')) AS n, title, hook FROM lessons)".replace(chr(92) + chr(34), chr(34)))
 def external_calls(spark, d):
     """An outside call per lesson with its output checked; here an offline one."""
     t = rows(spark, d, "lessons", "lesson_id", "title", "hook")
@@ -170,4 +176,4 @@ def external_calls(spark, d):
 @query()
 def formula_fractions(spark, d):
     t = tables(spark, d)("lessons").select("lesson_id", F.posexplode("formula_blocks").alias("pos", "b")).select("lesson_id", "pos", "b.latex").distinct()
-    return t.select("lesson_id", "pos", E.first_fraction(F.col("latex")).alias("fraction"))
+    return t.select("lesson_id", "pos", fraction(F.col("latex")).alias("fraction"))

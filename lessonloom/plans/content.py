@@ -31,7 +31,7 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = f"WITH {_VIEWS} {sql}"
+            SQL[f.__name__] = f"WITH {_VIEWS}{',' if sql.startswith('w AS') else ''} {sql}"
         return f
 
     return add
@@ -179,10 +179,11 @@ def media_counts(spark, d):
     return rows(spark, d, "illustration_assets").groupBy("mime_type").agg(F.count_distinct("sha256").alias("assets"), F.count_distinct("illustration_id").alias("occurrences"), F.sum("byte_size").alias("bytes"))
 
 
-@query("SELECT filename, count(DISTINCT coalesce(mime_type, '') || '|' || coalesce(source_format, '')) AS variants FROM source_documents WHERE filename IS NOT NULL GROUP BY filename HAVING variants > 1")
+@query("SELECT source_format, count(DISTINCT coalesce(mime_type, '')) AS variants FROM source_documents WHERE source_format IS NOT NULL GROUP BY source_format HAVING variants > 1")
 def dedupe_conflict(spark, d):
-    t = tables(spark, d)("source_documents").filter("filename IS NOT NULL").select("filename", F.coalesce("mime_type", F.lit("")).alias("m"), F.coalesce("source_format", F.lit("")).alias("f"))
-    return C.conflicts(t, "filename", ["m", "f"])
+    """Formats that stand under several media types."""
+    t = tables(spark, d)("source_documents").filter("source_format IS NOT NULL").select("source_format", F.coalesce("mime_type", F.lit("")).alias("m"))
+    return C.conflicts(t, "source_format", ["m"])
 
 
 @query("SELECT chunk_id, count(*) AS deliveries, count(DISTINCT normalized_text) AS texts FROM document_chunks GROUP BY chunk_id HAVING count(*) > 1")
@@ -199,10 +200,15 @@ def near_dup_stems(spark, d):
     return C.similar_in_group(q, "atom_id", "question_id", "w", 0.5)
 
 
-@query(r"SELECT module_id, trim(regexp_replace(lower(title), '\s+', ' ', 'g')) AS title_key, count(*) AS n FROM atoms WHERE title IS NOT NULL GROUP BY ALL HAVING count(*) > 1")
+@query(r"""SELECT kind, course_id, trim(regexp_replace(lower(x), '\s+', ' ', 'g')) AS text_key, count(*) AS n FROM (SELECT 'title' AS kind, atom_id, course_id, title AS x FROM atoms UNION ALL
+SELECT DISTINCT 'objective', atom_id, course_id, learning_objective FROM les JOIN (SELECT DISTINCT atom_id, course_id FROM atoms) USING (atom_id)) WHERE trim(x) <> '' GROUP BY ALL HAVING count(*) > 1""")
 def repeated_titles(spark, d):
-    a = rows(spark, d, "atom_plans", "atom_id", "module_id", "title").filter("title IS NOT NULL")
-    return a.groupBy("module_id", F.trim(F.regexp_replace(F.lower("title"), r"\s+", " ")).alias("title_key")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    """Titles and objectives that several atoms of a course share, aside from case and spacing."""
+    a = rows(spark, d, "atom_plans", "atom_id", "course_id", "title")
+    o = rows(spark, d, "lessons", "atom_id", "learning_objective").join(a.select("atom_id", "course_id").distinct(), "atom_id")
+    both = a.select(F.lit("title").alias("kind"), "course_id", F.col("title").alias("x")).unionByName(o.select(F.lit("objective").alias("kind"), "course_id", F.col("learning_objective").alias("x")))
+    key = F.trim(F.regexp_replace(F.lower("x"), r"\s+", " "))
+    return both.filter("trim(x) <> ''").groupBy("kind", "course_id", key.alias("text_key")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
 @query("SELECT question_id, len(options) AS n_options, len(list_distinct(list_transform(options, lambda o: lower(trim(o.text))))) AS n_different, list_contains(list_transform(options, lambda o: o.id), correct_option_id) AS has_right FROM qs")
@@ -211,10 +217,14 @@ def option_checks(spark, d):
     return q.select("question_id", F.size("options").alias("n_options"), F.size(F.array_distinct(F.transform("options", lambda o: F.lower(F.trim(o["text"]))))).alias("n_different"), F.array_contains(F.transform("options", lambda o: o["id"]), F.col("correct_option_id")).alias("has_right"))
 
 
-@query("SELECT DISTINCT source_ref.document_id AS document_id FROM document_chunks WHERE source_ref.document_id NOT IN (SELECT document_id FROM source_documents WHERE document_id IS NOT NULL)")
-def chunks_without_document(spark, d):
+@query("SELECT CASE WHEN o.document_id IS NULL THEN 'chunks' WHEN c.document_id IS NULL THEN 'documents' ELSE 'both' END AS named_in, count(*) AS documents FROM (SELECT DISTINCT source_ref.document_id AS document_id FROM document_chunks WHERE source_ref.document_id IS NOT NULL) c FULL JOIN (SELECT DISTINCT document_id FROM source_documents WHERE document_id IS NOT NULL) o USING (document_id) GROUP BY ALL")
+def document_set_difference(spark, d):
+    """Documents that only chunks name, that no chunk names, and that both do."""
     t = tables(spark, d)
-    return t("document_chunks").select("source_ref.document_id").filter("document_id IS NOT NULL").distinct().join(t("source_documents").select("document_id"), "document_id", "left_anti")
+    c = t("document_chunks").select("source_ref.document_id").filter("document_id IS NOT NULL").distinct().withColumn("c", F.lit(True))
+    o = t("source_documents").select("document_id").filter("document_id IS NOT NULL").distinct().withColumn("o", F.lit(True))
+    side = F.when(F.col("o").isNull(), "chunks").when(F.col("c").isNull(), "documents").otherwise("both")
+    return c.join(o, "document_id", "full_outer").groupBy(side.alias("named_in")).agg(F.count(F.lit(1)).alias("documents"))
 
 
 @query("SELECT side, count(*) AS n FROM (SELECT 'atoms_only' AS side FROM (SELECT atom_id FROM atoms EXCEPT SELECT atom_id FROM les) UNION ALL SELECT 'lessons_only' FROM (SELECT atom_id FROM les EXCEPT SELECT atom_id FROM atoms) UNION ALL SELECT 'both' FROM (SELECT atom_id FROM les INTERSECT SELECT atom_id FROM atoms)) GROUP BY side")
@@ -424,7 +434,20 @@ def atom_counts(spark, d):
     return g.withColumn("atoms", P.atom_count(F.col("page_groups"), 4)).withColumn("over_capacity", F.col("page_groups") > F.col("atoms") * 5)
 
 
-@query()
+def _balanced(most: int = 5, target: int = 4) -> str:
+    """The stated rule in SQL, one step a part."""
+    sql = f"""w AS (SELECT document_id AS k, page_start AS o, greatest(1, sum(coalesce(length(normalized_text), 0))) AS w FROM ch GROUP BY ALL),
+s AS (SELECT k, o, sum(w) OVER p AS upto, row_number() OVER p AS no FROM w WINDOW p AS (PARTITION BY k ORDER BY o NULLS FIRST)),
+c0 AS (SELECT k, max(no) AS n, max(upto) AS total, least({most}, max(no), greatest(1, ceil(max(no) / {target})))::BIGINT AS parts, 0::BIGINT AS taken, 0::HUGEINT AS done, [0]::BIGINT[] AS cuts FROM s GROUP BY k)"""
+    for p in range(most - 1):
+        left = f"(parts - {p})"
+        sql += f""",
+b{p} AS (SELECT k, min({{'a': abs((upto - done)::DOUBLE - (total - done)::DOUBLE / {left}), 'n': no, 'u': upto}}) AS b FROM c{p} JOIN s USING (k) WHERE {left} > 1 AND no > taken AND no <= n - {left} + 1 GROUP BY k),
+c{p + 1} AS (SELECT k, n, total, parts, coalesce(b.n, taken) AS taken, coalesce(b.u, done) AS done, CASE WHEN b IS NULL THEN cuts ELSE list_append(cuts, b.n) END AS cuts FROM c{p} LEFT JOIN b{p} USING (k))"""
+    return sql + f" SELECT s.k AS document_id, s.o AS page_start, (len(list_filter(cuts, lambda c: c < no)) - 1)::INT AS part FROM s JOIN c{most - 1} c USING (k)"
+
+
+@query(_balanced())
 def balanced_parts(spark, d):
     c = rows(spark, d, "document_chunks", "chunk_id", "document_id", "page_start", F.coalesce(F.length("normalized_text"), F.lit(0)).alias("n"))
     return P.balanced_parts(c.groupBy("document_id", "page_start").agg(F.sum("n").alias("w")), "document_id", "page_start", "w")

@@ -31,11 +31,11 @@ def document_chunks_made(spark, d):
     return chunking.chunks(pages).select("document_id", "section_no", "part_no", "chunk_id", "source_ref_id", "heading_path", "text_hash")
 
 
-@query("SELECT doc_id, true AS lossless FROM documents WHERE text IS NOT NULL")
+@query(r"SELECT doc_id, sha256(text) AS joined, length(text) <= 360 AS one_page, true AS fits FROM documents WHERE text IS NOT NULL AND text <> '' AND NOT regexp_matches(text, '[\x{10000}-\x{10FFFF}]')")
 def display_pages(spark, d):
-    """Display pages joined again are the text."""
-    t = tables(spark, d)("documents").filter("text IS NOT NULL").select("doc_id", "text", chunking.paged(F.col("text")).alias("pages"))
-    return t.select("doc_id", (F.array_join("pages", "") == F.col("text")).alias("lossless"))
+    """Display pages joined again are the text; each has 360 units at most, and a text of that size is one page."""
+    t = tables(spark, d)("documents").filter("text <> ''").filter(~F.col("text").rlike(r"[\x{10000}-\x{10FFFF}]")).select("doc_id", chunking.paged(F.col("text")).alias("pages"))
+    return t.select("doc_id", F.sha2(F.array_join("pages", "").cast("binary"), 256).alias("joined"), (F.size("pages") == 1).alias("one_page"), F.forall("pages", lambda p: F.length(p) <= 360).alias("fits"))
 
 
 @query()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lessonloom.functions.hashing import digest
 from lessonloom.functions.text import words
 from lessonloom.operators import quality as Q
+from lessonloom.operators.editorial import action_pattern, observable
 from lessonloom.runtime import tables
 
 KEYS = {"atom_plans": "atom_id", "lessons": "lesson_id", "learning_pairs": "pair_id", "questions": "question_id", "illustration_assets": "illustration_id", "document_chunks": "chunk_id", "source_documents": "document_id"}
@@ -19,6 +20,10 @@ def _n_words(x: str):
     return F.size(words(F.coalesce(_c(x), F.lit(""))))
 
 
+#: The text a learner reads in a lesson.
+_TEXT = ("learning_objective", "hook", "intuition", "common_mistake", "recall_prompt")
+
+
 #: code: (rule, the SQL that gives code, path, detail, severity)
 def rules() -> dict[str, object]:
     """All rules by code."""
@@ -79,6 +84,26 @@ def rules() -> dict[str, object]:
         Q.RowRule("CHUNK_TEXT_EMPTY", "document_chunks", _blank("normalized_text")),
         Q.ReferenceRule("CHUNK_DOCUMENT_UNKNOWN", "document_chunks", "document_id", "source_documents", _c("document_id")),
         Q.UniqueRule("DOCUMENT_BYTES_DUPLICATE", "source_documents", _c("sha256"), severity="WARNING"),
+        Q.ReferenceRule("ATOM_FULL_LESSON_MISSING", "atom_plans", "atom_id", "lessons", _c("atom_id")),
+        Q.CountRule("ATOM_PAIR_COVERAGE_INVALID", "atom_plans", "learning_pairs", "atom_id", 1, 1),
+        Q.UniqueRule("FULL_LESSON_DUPLICATE_ATOM", "lessons", _c("atom_id")),
+        Q.UniqueRule("LESSON_MULTIPLE_PAIRS", "learning_pairs", _c("micro_lesson_id")),
+        Q.MatchRule("LESSON_PAIR_MISMATCH", "lessons", "pair_id", "learning_pairs", _c("pair_id"), {"lesson": _c("micro_lesson_id")}, _c("lesson_id") != _c("t_lesson")),
+        Q.ReferenceRule("QUESTION_PAIR_MISSING", "questions", "question_id", "learning_pairs", F.explode("question_ids")),
+        Q.ReferenceRule("ILLUSTRATION_UNUSED", "illustration_assets", "source_ref_id", "lessons", F.explode("illustration_source_ref_ids")),
+        Q.RowRule("PAIR_CONTENT_HASH_INVALID", "learning_pairs", _c("content_hash") != F.concat(F.lit("sha256:"), F.sha2(F.array_join("question_ids", "\x1f").cast("binary"), 256))),
+        Q.RowRule("LESSON_COMMON_MISTAKE_TOO_THIN", "lessons", _n_words("common_mistake") < 8, severity="WARNING"),
+        Q.RowRule("LESSON_RECALL_PROMPT_TOO_THIN", "lessons", _n_words("recall_prompt") < 5, severity="WARNING"),
+        Q.RowRule("LESSON_TITLE_LENGTH_INVALID", "lessons", ~_n_words("title").between(2, 14), severity="WARNING"),
+        Q.RowRule("LESSON_TITLE_PAGE_LABEL", "lessons", _c("title").rlike(r"(?i)(?:trang|slide|page)\s*\d+"), severity="WARNING"),
+        Q.RowRule("LESSON_EXAMPLE_STEPS_TOO_FEW", "lessons", F.size(_c("tiny_example.steps")) < 2, F.size(_c("tiny_example.steps")), severity="WARNING"),
+        Q.RowRule("LESSON_EXAMPLE_TOO_THIN", "lessons", F.size(words(F.concat_ws(" ", "tiny_example.input", F.array_join("tiny_example.steps", " "), "tiny_example.output"))) < 20, severity="WARNING"),
+        Q.RowRule("LESSON_PROCESS_STEPS_TOO_FEW", "lessons", F.size("process_steps") < 2, F.size("process_steps"), severity="WARNING"),
+        Q.RowRule("LESSON_PROCESS_STEPS_EXCESSIVE", "lessons", F.size("process_steps") > 8, F.size("process_steps"), severity="WARNING"),
+        Q.RowRule("LESSON_TAKEAWAYS_DUPLICATE", "lessons", F.size(F.array_distinct(F.transform("takeaways", lambda t: F.lower(F.trim(t))))) != F.size("takeaways"), severity="WARNING"),
+        Q.RowRule("LESSON_TEXT_EXCESSIVE", "lessons", F.size(words(F.concat_ws(" ", *_TEXT))) > 520, severity="WARNING"),
+        Q.RowRule("LESSON_TEXT_TOO_THIN", "lessons", F.size(words(F.concat_ws(" ", *_TEXT))) < 140, severity="WARNING"),
+        Q.RowRule("LESSON_OBJECTIVE_NOT_OBSERVABLE", "lessons", ~observable(_c("learning_objective")), severity="WARNING"),
         Q.RowRule("DOCUMENT_PAGES_INVALID", "source_documents", _c("page_count") < 1, _c("page_count")),
     ]
     return {r.code: r for r in own}
@@ -170,6 +195,26 @@ _PARTS = [
     _row("CHUNK_TEXT_EMPTY", "document_chunks", "chunk_id", "trim(coalesce(normalized_text, '')) = ''"),
     _lost("CHUNK_DOCUMENT_UNKNOWN", "document_chunks", "chunk_id", "document_id", "SELECT document_id FROM source_documents WHERE document_id IS NOT NULL"),
     "SELECT 'DOCUMENT_BYTES_DUPLICATE', 'source_documents:' || sha256, count(DISTINCT document_id)::VARCHAR, 'WARNING' FROM source_documents WHERE sha256 IS NOT NULL GROUP BY sha256 HAVING count(DISTINCT document_id) > 1",
+    _lost("ATOM_FULL_LESSON_MISSING", "atom_plans", "atom_id", "atom_id", "SELECT atom_id FROM lessons WHERE atom_id IS NOT NULL"),
+    "SELECT 'ATOM_PAIR_COVERAGE_INVALID', 'atom_plans:' || atom_id, coalesce(n, 0)::VARCHAR, 'ERROR' FROM (SELECT DISTINCT atom_id FROM atom_plans) LEFT JOIN (SELECT atom_id, count(DISTINCT pair_id) AS n FROM learning_pairs GROUP BY 1) USING (atom_id) WHERE coalesce(n, 0) <> 1",
+    "SELECT 'FULL_LESSON_DUPLICATE_ATOM', 'lessons:' || atom_id, count(DISTINCT lesson_id)::VARCHAR, 'ERROR' FROM lessons WHERE atom_id IS NOT NULL GROUP BY atom_id HAVING count(DISTINCT lesson_id) > 1",
+    "SELECT 'LESSON_MULTIPLE_PAIRS', 'learning_pairs:' || micro_lesson_id, count(DISTINCT pair_id)::VARCHAR, 'ERROR' FROM learning_pairs WHERE micro_lesson_id IS NOT NULL GROUP BY micro_lesson_id HAVING count(DISTINCT pair_id) > 1",
+    _match("LESSON_PAIR_MISMATCH", "lessons", "lesson_id", "pair_id", "learning_pairs", "pair_id", "x.lesson_id <> y.micro_lesson_id"),
+    _lost("QUESTION_PAIR_MISSING", "questions", "question_id", "question_id", "SELECT r FROM (SELECT unnest(question_ids) AS r FROM learning_pairs) WHERE r IS NOT NULL"),
+    _lost("ILLUSTRATION_UNUSED", "illustration_assets", "illustration_id", "source_ref_id", "SELECT r FROM (SELECT unnest(illustration_source_ref_ids) AS r FROM lessons) WHERE r IS NOT NULL"),
+    _row("PAIR_CONTENT_HASH_INVALID", "learning_pairs", "pair_id", "content_hash <> 'sha256:' || sha256(array_to_string(question_ids, chr(31)))"),
+    _row("LESSON_COMMON_MISTAKE_TOO_THIN", "lessons", "lesson_id", _W.format("common_mistake") + " < 8", severity="WARNING"),
+    _row("LESSON_RECALL_PROMPT_TOO_THIN", "lessons", "lesson_id", _W.format("recall_prompt") + " < 5", severity="WARNING"),
+    _row("LESSON_TITLE_LENGTH_INVALID", "lessons", "lesson_id", "NOT " + _W.format("title") + " BETWEEN 2 AND 14", severity="WARNING"),
+    _row("LESSON_TITLE_PAGE_LABEL", "lessons", "lesson_id", r"regexp_matches(title, '(?i)(?:trang|slide|page)\s*\d+')", severity="WARNING"),
+    _row("LESSON_EXAMPLE_STEPS_TOO_FEW", "lessons", "lesson_id", "len(tiny_example.steps) < 2", "len(tiny_example.steps)", severity="WARNING"),
+    _row("LESSON_EXAMPLE_TOO_THIN", "lessons", "lesson_id", _W.format("concat_ws(' ', tiny_example.input, array_to_string(tiny_example.steps, ' '), tiny_example.output)") + " < 20", severity="WARNING"),
+    _row("LESSON_PROCESS_STEPS_TOO_FEW", "lessons", "lesson_id", "len(process_steps) < 2", "len(process_steps)", severity="WARNING"),
+    _row("LESSON_PROCESS_STEPS_EXCESSIVE", "lessons", "lesson_id", "len(process_steps) > 8", "len(process_steps)", severity="WARNING"),
+    _row("LESSON_TAKEAWAYS_DUPLICATE", "lessons", "lesson_id", "len(list_distinct(list_transform(takeaways, lambda t: lower(trim(t))))) <> len(takeaways)", severity="WARNING"),
+    _row("LESSON_TEXT_EXCESSIVE", "lessons", "lesson_id", _W.format(f"concat_ws(' ', {', '.join(_TEXT)})") + " > 520", severity="WARNING"),
+    _row("LESSON_TEXT_TOO_THIN", "lessons", "lesson_id", _W.format(f"concat_ws(' ', {', '.join(_TEXT)})") + " < 140", severity="WARNING"),
+    _row("LESSON_OBJECTIVE_NOT_OBSERVABLE", "lessons", "lesson_id", f"NOT regexp_matches(learning_objective, '(?i){action_pattern('($|[^' + chr(92) + 'p{L}' + chr(92) + 'p{M}' + chr(92) + 'p{N}_])')}')", severity="WARNING"),
     _row("DOCUMENT_PAGES_INVALID", "source_documents", "document_id", "page_count < 1", "page_count"),
 ]
 _ALL = " UNION ALL ".join(f"({p})" for p in _PARTS)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lessonloom.plans import catalog, content, integrity, processing, quality, rules, study
+from lessonloom.plans import catalog, content, editorial, integrity, links, processing, quality, rules, study
 
-MODULES: list = [integrity, study, content, quality, processing, rules, catalog]
+MODULES: list = [integrity, study, content, quality, processing, rules, catalog, editorial, links]
 
 
 def queries() -> dict[str, Callable]:

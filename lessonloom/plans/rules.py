@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from lessonloom.functions.text import nfc
 from lessonloom.operators import content as C
 from lessonloom.operators import memo
+from lessonloom.operators import partitioning as P
 from lessonloom.operators import texts as X
 from lessonloom.plans.content import _VIEWS, rows
 from lessonloom.runtime import tables
+from lessonloom.streaming import signals
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -31,13 +33,13 @@ def takeaway_rules(spark, d):
     return t.select("lesson_id", F.col("pos").cast("long").alias("pos"), X.takeaway_problem(F.col("t")).alias("problem"))
 
 
-@query()
+@query(r"SELECT lesson_id, list_transform(takeaways, lambda t: regexp_replace(t, '([\p{Ll}\d][.!?])(\p{Lu})', '\1 \2', 'g')) AS takeaways FROM les")
 def spaced_takeaways(spark, d):
     t = rows(spark, d, "lessons", "lesson_id", "takeaways")
     return t.select("lesson_id", F.transform("takeaways", X.spaced_sentences).alias("takeaways"))
 
 
-@query()
+@query(r"SELECT lesson_id, trim(regexp_replace(lower(nfc_normalize(step)), '[^\p{L}\p{N}]+', ' ', 'g')) AS k, min(pos) AS first_pos, count(*) AS n FROM (SELECT DISTINCT lesson_id, unnest(process_steps) AS step, generate_subscripts(process_steps, 1)::INT - 1 AS pos FROM lessons) GROUP BY lesson_id, k")
 def heading_keys(spark, d):
     """Steps that repeat an earlier one of their lesson, by normalised words: the index of the first is kept."""
     t = tables(spark, d)("lessons").select("lesson_id", F.posexplode("process_steps").alias("pos", "step")).distinct()
@@ -83,7 +85,7 @@ def formula_texts(spark, d):
     return t.select("lesson_id", "pos", X.formula(F.col("latex")).alias("shown"))
 
 
-@query()
+@query(r"SELECT question_id, count(*) AS options, count(DISTINCT CASE WHEN regexp_matches(t, '[`(){}\[\]=]|\w\.\w') THEN k ELSE lower(k) END) AS different FROM (SELECT question_id, o.text AS t, trim(regexp_replace(nfc_normalize(o.text), '\s+', ' ', 'g')) AS k FROM (SELECT question_id, unnest(options) AS o FROM qs)) GROUP BY question_id")
 def option_duplicates(spark, d):
     """Options of each question and how many stay different aside from case and spacing; those with code keep their case."""
     q = rows(spark, d, "questions", "question_id", "options").select("question_id", F.explode("options").alias("o"))
@@ -137,22 +139,27 @@ def media_batches(spark, d):
     return C.global_number(one, ["sha256"], "item_no").withColumn("batch_no", F.floor(F.col("item_no") / 4))
 
 
-@query("SELECT event_id, user_id FROM (SELECT event_id, user_id, ts, event_type, lag(event_type) OVER w AS pe, lag(ts) OVER w AS pt FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE NOT (pe IS NOT DISTINCT FROM event_type AND ts - pt < INTERVAL 2 HOUR)")
+@query("""SELECT event_id, user_id FROM events WHERE event_type <> 'view' OR event_id IN (
+SELECT event_id FROM (WITH RECURSIVE runs AS (SELECT event_id, user_id, ts, sum((pe IS DISTINCT FROM 'view')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pe FROM events) WHERE event_type = 'view'),
+acc AS (SELECT user_id, run, min(ts) AS ts FROM runs GROUP BY ALL UNION ALL SELECT r.user_id, r.run, min(r.ts) FROM acc JOIN runs r ON r.user_id = acc.user_id AND r.run = acc.run AND r.ts >= acc.ts + INTERVAL 2 HOUR GROUP BY r.user_id, r.run, acc.ts)
+SELECT min(event_id) AS event_id FROM runs JOIN acc USING (user_id, run, ts) GROUP BY user_id, run, ts))""")
 def repeated_signals_dropped(spark, d):
-    """Events without those that repeat the user's previous one within two hours."""
-    e = tables(spark, d)("events").select("event_id", "user_id", "event_type", "ts")
-    e = C.with_previous(e, ["user_id"], ["ts", "event_id"], ["event_type", "ts"])
-    again = F.col("prev_event_type").eqNullSafe(F.col("event_type")) & (F.timestamp_diff("MICROSECOND", "prev_ts", "ts") < 7_200_000_000)
-    return e.filter(~F.coalesce(again, F.lit(False))).select("event_id", "user_id")
+    """Events without the views that follow an accepted view of their user within two hours, no other event between them."""
+    return signals.without_repeats(tables(spark, d)("events").select("event_id", "user_id", "event_type", "ts"), "view", 7_200_000_000)
 
 
-@query("SELECT document_id, page FROM (SELECT document_id, unnest(range(1, coalesce(page_count, 0)::BIGINT + 1)) AS page FROM docs WHERE page_count <= 200) WHERE (document_id, page) NOT IN (SELECT document_id, unnest(range(page_start, page_end + 1)) FROM ch WHERE page_start IS NOT NULL AND page_end IS NOT NULL)")
+@query("SELECT document_id, page FROM (SELECT document_id, unnest(range(1, coalesce(page_count, 0)::BIGINT + 1)) AS page FROM docs WHERE page_count >= 1) WHERE (document_id, page) NOT IN (SELECT document_id, unnest(range(page_start, page_end + 1)) FROM ch WHERE page_start IS NOT NULL AND page_end IS NOT NULL)")
 def missing_pages(spark, d):
-    """Pages of documents of up to 200 pages that no chunk covers."""
-    t = rows(spark, d, "source_documents", "document_id", "page_count").filter("page_count BETWEEN 1 AND 200")
-    spine = t.select("document_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("page_count").cast("long"))).alias("page"))
-    had = tables(spark, d)("document_chunks").filter("page_start <= page_end").select("document_id", F.explode(F.sequence(F.col("page_start").cast("long"), F.col("page_end").cast("long"))).alias("page")).distinct()
-    return spine.join(had, ["document_id", "page"], "left_anti")
+    """Pages of every document that no chunk covers."""
+    gaps = P.uncovered(rows(spark, d, "source_documents", "document_id", "page_count").filter("page_count >= 1"), tables(spark, d)("document_chunks"), "document_id", "page_count", "page_start", "page_end")
+    return gaps.select("document_id", F.explode(F.sequence("page_from", "page_to")).alias("page"))
+
+
+@query("""SELECT document_id, min(page) AS page_from, max(page) AS page_to FROM (SELECT document_id, page, page - row_number() OVER (PARTITION BY document_id ORDER BY page) AS g FROM (SELECT document_id, unnest(range(1, page_count::BIGINT + 1)) AS page FROM docs WHERE page_count >= 1)
+WHERE (document_id, page) NOT IN (SELECT document_id, unnest(range(page_start, page_end + 1)) FROM ch WHERE page_start IS NOT NULL AND page_end IS NOT NULL)) GROUP BY document_id, g""")
+def missing_page_ranges(spark, d):
+    """The same as ranges, one row however long."""
+    return P.uncovered(rows(spark, d, "source_documents", "document_id", "page_count").filter("page_count >= 1"), tables(spark, d)("document_chunks"), "document_id", "page_count", "page_start", "page_end")
 
 
 @query("SELECT course_id, module_id, string_agg(title, ' | ' ORDER BY order_index, atom_id) AS outline FROM atoms WHERE title IS NOT NULL GROUP BY ALL")
@@ -162,7 +169,7 @@ def module_outlines(spark, d):
     return a.groupBy("course_id", "module_id").agg(s.alias("s")).select("course_id", "module_id", F.array_join(F.transform("s", lambda x: x["title"]), " | ").alias("outline"))
 
 
-@query()
+@query("SELECT module_id, sha256(string_agg(to_json({'atom_id': atom_id, 'module_id': module_id, 'order_index': order_index, 'prerequisite_ids': prerequisite_ids, 'title': title})::VARCHAR, chr(10) ORDER BY atom_id)) AS h FROM (SELECT DISTINCT module_id, atom_id, order_index, title, prerequisite_ids FROM atom_plans) GROUP BY module_id")
 def module_hashes(spark, d):
     """A digest of all rows a module owns, in a fixed order."""
     a = rows(spark, d, "atom_plans", "module_id", "atom_id", "order_index", "title", "prerequisite_ids")

@@ -10,6 +10,8 @@ from lessonloom.operators import study as S
 from lessonloom.runtime import tables
 
 NOW, TODAY = 1_706_000_000_000, "2024-01-23"
+#: A time at which reviews of the log have fallen due.
+REVIEW = 1_708_000_000_000
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -48,7 +50,7 @@ def dash_daily(spark, d):
     return S.activity_days(S.attempts(e), S.lessons_read(e), TODAY)
 
 
-@query("""SELECT sum(answered) AS answered, sum(wrong) AS wrong, sum(lessons) AS lessons, sum(answered) / 7 AS mean_answers, CASE WHEN sum(answered) > 0 THEN floor((sum(answered) - sum(wrong)) * 100 / sum(answered)) ELSE 0 END::BIGINT AS accuracy,
+@query("""SELECT sum(answered) AS answered, sum(wrong) AS wrong, sum(lessons) AS lessons, sum(answered) / 7 AS mean_answers, CASE WHEN sum(answered) FILTER (day = DATE '2024-01-23') > 0 THEN floor((sum(answered - wrong) FILTER (day = DATE '2024-01-23')) * 100 / sum(answered) FILTER (day = DATE '2024-01-23')) ELSE 0 END::BIGINT AS accuracy,
 CASE WHEN max(day) FILTER (answered = 0 AND lessons = 0) IS NULL THEN 7 ELSE max(day) - max(day) FILTER (answered = 0 AND lessons = 0) END::BIGINT AS streak, greatest(1, max(answered), ceil(sum(answered) / 7))::BIGINT AS chart_top FROM (
 SELECT (DATE '2024-01-23' - (6 - i)::INTEGER)::DATE AS day, coalesce(a.n, 0) AS answered, coalesce(a.w, 0) AS wrong, coalesce(b.n, 0) AS lessons FROM range(7) t(i)
 LEFT JOIN (SELECT floor((created_at + 25200000) / 86400000)::INTEGER AS k, count(*) AS n, count(*) FILTER (NOT correct) AS w FROM att GROUP BY 1) a ON a.k = (DATE '2024-01-23' - (6 - i)::INTEGER)::DATE - DATE '1970-01-01'
@@ -121,14 +123,14 @@ def lesson_activity_key(spark, d):
     return S.lessons_read(_events(spark, d))
 
 
-@query(f"SELECT m.* FROM mis m JOIN prog p ON m.atom_id = p.atom_id WHERE p.status = 'MASTERED' AND m.due_at > 0 AND m.due_at <= {NOW}")
+@query(f"SELECT m.* FROM mis m JOIN prog p ON m.atom_id = p.atom_id WHERE p.status = 'MASTERED' AND m.due_at > 0 AND m.due_at <= {REVIEW}")
 def due_mastered_mistakes(spark, d):
     e = _events(spark, d)
     m, p = S.mistakes(e), S.progress(e).filter("status = 'MASTERED'").select("atom_id")
-    return m.filter(S.is_due(F.col("due_at"), NOW)).join(p, "atom_id", "left_semi").orderBy("due_at", F.desc("error_count"), "first_seen_at", "question_id")
+    return m.filter(S.is_due(F.col("due_at"), REVIEW)).join(p, "atom_id", "left_semi").orderBy("due_at", F.desc("error_count"), "first_seen_at", "question_id")
 
 
-@query(f"SELECT m.question_id, m.atom_id FROM mis m JOIN prog p ON m.atom_id = p.atom_id WHERE p.status = 'MASTERED' AND m.due_at > 0 AND m.due_at <= {NOW} ORDER BY m.due_at, m.error_count DESC, m.first_seen_at, m.question_id LIMIT 1")
+@query(f"SELECT m.question_id, m.atom_id FROM mis m JOIN prog p ON m.atom_id = p.atom_id WHERE p.status = 'MASTERED' AND m.due_at > 0 AND m.due_at <= {REVIEW} ORDER BY m.due_at, m.error_count DESC, m.first_seen_at, m.question_id LIMIT 1")
 def first_due_review(spark, d):
     return due_mastered_mistakes(spark, d).limit(1).select("question_id", "atom_id")
 
@@ -170,10 +172,12 @@ def sessions_recent(spark, d):
     return S.sessions(_events(spark, d)).orderBy(F.desc("on_at"), F.desc("event_id")).limit(20)
 
 
-@query(f"SELECT count(*) AS attempts, coalesce(sum(correct::INT), 0)::BIGINT AS right_sum FROM att WHERE created_at >= {NOW + 90 * S.DAY}")
-def sums_since_empty(spark, d):
-    """Counts and sums over no rows are 0."""
-    return S.attempts(_events(spark, d)).filter(F.col("created_at") >= NOW + 90 * S.DAY).agg(F.count(F.lit(1)).alias("attempts"), F.coalesce(F.sum(F.col("correct").cast("int")), F.lit(0)).alias("right_sum"))
+@query(f"SELECT since, count(a.event_id) AS attempts, coalesce(sum(correct::INT), 0)::BIGINT AS right_sum FROM (VALUES ({NOW}::BIGINT), ({NOW + 90 * S.DAY}::BIGINT)) v(since) LEFT JOIN att a ON a.created_at >= since GROUP BY since")
+def sums_since(spark, d):
+    """Counts and sums since two times; over no rows they are 0."""
+    a = S.attempts(_events(spark, d))
+    one = lambda t: a.filter(F.col("created_at") >= t).agg(F.lit(t).cast("long").alias("since"), F.count(F.lit(1)).alias("attempts"), F.coalesce(F.sum(F.col("correct").cast("int")), F.lit(0)).alias("right_sum"))
+    return one(NOW).unionByName(one(NOW + 90 * S.DAY))
 
 
 @query("SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")

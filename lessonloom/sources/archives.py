@@ -185,3 +185,11 @@ def extracted_pages(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.string()))], names=["document_id", "page", "text", "problem"])
 
     return files.select("sha256", "suffix", "content").mapInArrow(read, "document_id string, page long, text string, problem string")
+
+
+def reverified(inventory: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, problem) where an inventory (path, size, sha256) and the files there now (path, content) differ; none if all is as listed."""
+    now = files.select("path", F.length("content").cast("long").alias("_size"), F.sha2("content", 256).alias("_sha"), F.lit(True).alias("_there"))
+    j = inventory.select("path", F.col("size").cast("long").alias("size"), F.regexp_replace("sha256", "^sha256:", "").alias("sha256"), F.lit(True).alias("_listed")).join(now, "path", "full_outer")
+    problem = F.when(F.col("_there").isNull(), "MISSING").when(F.col("_listed").isNull(), "UNLISTED").when(~F.col("size").eqNullSafe(F.col("_size")), "SIZE").when(~F.col("sha256").eqNullSafe(F.col("_sha")), "HASH")
+    return j.withColumn("problem", problem).filter("problem IS NOT NULL").select("path", "problem")

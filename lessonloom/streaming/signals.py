@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lessonloom.operators.content import running_totals, with_previous
 from lessonloom.runtime import shared_dir
 
 DEDUPE = 2_000
@@ -134,6 +135,21 @@ def event_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
+def without_repeats(events: DataFrame, kind: str, gap_us: int) -> DataFrame:
+    """(event_id, user_id) of all events but those of ``kind`` that follow an accepted one within the gap, with no other event between.
+
+    A dropped event does not count. Events are cut into runs at every other event and every gap, so a run, not a user, is
+    folded; previous events and run numbers come from range partitions.
+    """
+    e = with_previous(events, ["user_id"], ["ts", "event_id"], ["event_type", "ts"]).withColumn("us", F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), "ts"))
+    near = F.col("prev_event_type").eqNullSafe(F.lit(kind)) & (F.timestamp_diff("MICROSECOND", "prev_ts", "ts") < gap_us)
+    asked = e.filter(F.col("event_type") == kind).select("event_id", "user_id", "us", F.when(F.coalesce(near, F.lit(False)), 0).otherwise(1).cast("long").alias("new"))
+    runs = running_totals(asked, ["user_id"], ["us", "event_id"], {"new": "run"}).groupBy("user_id", "run").agg(F.array_sort(F.collect_list(F.struct("us", "event_id"))).alias("s"))
+    kept = F.aggregate("s", F.slice("s", 1, 0), lambda a, x: F.when((F.size(a) == 0) | (x["us"] - F.get(a, F.size(a) - 1)["us"] >= gap_us), F.array_append(a, x)).otherwise(a))
+    accepted = runs.select("user_id", F.explode(kept).alias("x")).select("x.event_id", "user_id")
+    return events.filter(~F.col("event_type").eqNullSafe(F.lit(kind))).select("event_id", "user_id").unionByName(accepted)
+
+
 def windowed(events: DataFrame, *, width: str = "1 day", late: str = "2 days") -> DataFrame:
     """Counts per window and type with a watermark; works on streams and tables."""
     e = events.withColumn("at", utc(F.col("ts"))).withWatermark("at", late)

@@ -46,10 +46,13 @@ def check(spark, rows, **k):
     cycles, paths = brute(rows)
     assert {r.v: r.cycle_id for r in c.collect()} == cycles
     got = {r.v: r for r in t.collect()}
-    assert set(got) == set(paths)
+    shown = {r.v: r.path for r in H.paths(t).collect()}
+    assert set(got) == set(paths) and set(shown) == {v for v, p in paths.items() if p}
+    some = t.filter("depth >= 1").limit(3)
+    assert {r.v: r.path for r in H.paths(t, some).collect()} == {r.v: paths[r.v] for r in some.collect()}
     for v, p in paths.items():
         r = got[v]
-        assert r.path == p
+        assert shown.get(v) == p and len(r.segments or []) <= max(1, len(paths).bit_length())
         assert r.depth == (None if p is None else len(p) - 1)
         assert r.root == (None if p is None else p[0])
         assert r.cycle_id == cycles.get(v)

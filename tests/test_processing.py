@@ -1,4 +1,5 @@
 import io
+import shutil
 import zipfile
 
 from hypothesis import given, settings
@@ -35,16 +36,96 @@ def test_chunks_are_stable(spark):
     assert a == b and len(a) == 1 and a[0].chunk_id.startswith("chunk_")
 
 
+def test_windows_in_golden_cases():
+    assert chunking.windows("ab cd", 10, 2) == ["ab cd"]
+    assert chunking.windows("x" * 25, 10, 3) == ["x" * 10, "x" * 10, "x" * 10, "x" * 4]
+    assert chunking.windows("aaaaaa\n\nbbbbbbbbbb", 10, 2) == ["aaaaaa", "aa\n\nbbbbbb", "bbbbbb"]
+    assert chunking.windows("aa\n\nbbbbbbbbbbbbbb", 10, 2)[0] == "aa\n\nbbbbbb"
+
+
+def test_first_clause_golden():
+    for text, want in (
+        ("Dùng bộ nhớ đệm: lưu kết quả", "Dùng bộ nhớ đệm"), ("Vì sao học sâu? Vì dữ liệu", "Vì sao học sâu"), ("a,b c", "a"), ("tính 3.5 lần. Sau đó", "tính 3.5 lần"), ("gọi f(a; b]) rồi, xong", "gọi f(a; b]) rồi"),
+        ("mở (ngoặc, không đóng", "mở (ngoặc, không đóng"), ("x [a{b,c}] y; z", "x [a{b,c}] y"), ("`a, b", "`a, b"), ("", ""), ("hết.", "hết"), ("([), x", "([), x"),
+    ):
+        assert chunking.first_clause(text) == want, text
+
+
 def test_first_clause():
     assert chunking.first_clause("f(a, b), then") == "f(a, b)"
     assert chunking.first_clause("`x, y`; z") == "`x, y`"
     assert chunking.first_clause(None) is None
 
 
-def test_balance_covers_in_order():
-    for weights, count in (([5, 1, 1, 1, 9], 3), ([1], 1), ([1, 1], 2), ([3] * 11, 3)):
-        parts = partitioning.balance(weights, count)
-        assert len(parts) == len(weights) and parts == sorted(parts) and set(parts) == set(range(count))
+def _parts(weights, count):
+    """The stated rule by trying every cut."""
+    ends, done, n = [], 0, len(weights)
+    for part in range(count):
+        left = count - part
+        if left == 1:
+            ends.append(n)
+            break
+        goal, first = sum(weights[done:]) / left, done
+        cuts = range(first + 1, n - left + 2)
+        ends.append(min(cuts, key=lambda c: (abs(sum(weights[first:c]) - goal), c)))
+        done = ends[-1]
+    return [sum(e <= k for e in ends) for k in range(n)]
+
+
+def test_balanced_parts_equal_the_rule(spark):
+    import random
+
+    r = random.Random(3)
+    lists = {f"d{k}": [r.choice([0, 1, 1, 2, 5, 9, 40]) for _ in range(r.choice([1, 2, 3, 7, 12, 30]))] for k in range(40)}
+    rows = [(k, i * 3, w) for k, ws in lists.items() for i, w in enumerate(ws)] + [("none", 0, None)]
+    got = {(x.k, x.o): x.part for x in partitioning.balanced_parts(spark.createDataFrame(rows, "k string, o int, w int"), "k", "o", "w").collect()}
+    for k, ws in lists.items():
+        want = _parts([max(1, w) for w in ws], min(5, len(ws), max(1, -(-len(ws) // 4))))
+        assert [got[k, i * 3] for i in range(len(ws))] == want
+    assert got["none", 0] == 0 and partitioning.balanced_parts(spark.createDataFrame([], "k string, o int, w int"), "k", "o", "w").count() == 0
+
+
+def test_running_totals_of_one_large_group(spark):
+    df = spark.range(3000).select(F.lit("g").alias("g"), F.col("id").alias("k"), (F.col("id") % 7).alias("v")).unionByName(spark.createDataFrame([(None, 1, 5), (None, 2, 6)], "g string, k long, v long"))
+    got = {(r.g, r.k): r.s for r in content.running_totals(df, ["g"], ["k"], {"v": "s"}, buckets=9).collect()}
+    total = 0
+    for k in range(3000):
+        total += k % 7
+        assert got["g", k] == total
+    assert got[None, 2] == 11
+
+
+def test_uncovered_pages(spark):
+    wholes = spark.createDataFrame([("a", 10), ("b", 3), ("c", 2), ("d", 1_000_000_000)], "d string, n int")
+    parts = spark.createDataFrame([("a", 2, 3), ("a", 2, 5), ("a", 4, 4), ("a", 8, 99), ("b", 1, 3), ("c", None, 2), ("c", 2, 1), ("d", 5, 999_999_999), ("e", 1, 1)], "d string, f int, t int")
+    got = sorted((r.d, r.page_from, r.page_to) for r in partitioning.uncovered(wholes, parts, "d", "n", "f", "t").collect())
+    assert got == [("a", 1, 1), ("a", 6, 7), ("c", 1, 2), ("d", 1, 4), ("d", 1_000_000_000, 1_000_000_000)]
+
+
+def test_dropped_signals_do_not_count(spark):
+    import datetime
+
+    at = lambda m: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=m)
+    rows = [(1, 7, "view", 0), (2, 7, "view", 90), (3, 7, "view", 180), (4, 7, "click", 185), (5, 7, "view", 190), (6, 7, "view", 191), (7, 8, "view", 191), (8, 7, "view", 320), (9, 9, None, 1)]
+    e = spark.createDataFrame([(i, u, k, at(m)) for i, u, k, m in rows], "event_id long, user_id long, event_type string, ts timestamp_ntz")
+    assert sorted(r.event_id for r in signals.without_repeats(e, "view", 7_200_000_000).collect()) == [1, 3, 4, 5, 7, 8, 9]
+
+
+def test_blobs_are_written_once(spark, tmp_path):
+    import hashlib
+
+    import pytest
+
+    f = lambda *xs: spark.createDataFrame([(hashlib.sha256(x).hexdigest(), bytearray(x), "n") for x in xs], "sha256 string, content binary, prefix string")
+    path = f"file://{tmp_path}/blobs"
+    sinks.write_blobs(f(b"a", b"b", b"a"), path)
+    sinks.write_blobs(f(b"b", b"c"), path)
+    assert sorted(bytes(r.content) for r in spark.read.parquet(path).collect()) == [b"a", b"b", b"c"]
+    wrong = spark.createDataFrame([(hashlib.sha256(b"a").hexdigest(), bytearray(b"z"))], "sha256 string, content binary")
+    with pytest.raises(ValueError):
+        sinks.write_blobs(wrong, path)
+    with pytest.raises(ValueError):
+        sinks.write_blobs(f(b"q").unionByName(wrong.withColumn("prefix", F.lit("x"))).unionByName(f(b"a")), f"{path}2")
 
 
 def test_page_ranges(spark):
@@ -108,6 +189,10 @@ def test_install_moves_the_pointer_last(spark, tmp_path):
     assert sinks.current(spark, root, "t").count() == 1
     assert sinks.install(spark, root, {"t": df.unionByName(df)}) != first
     assert sinks.current(spark, root, "t").count() == 2
+    assert sinks.install(spark, root, {"t": df.repartition(3)}) == first and sinks.current(spark, root, "t").count() == 1
+    assert sinks.verified(spark, root).count() == 0
+    shutil.rmtree(tmp_path / "catalog" / "data" / max(spark.read.parquet(f"{root}/current").collect()).folder / "t")
+    assert [tuple(r) for r in sinks.verified(spark, root).collect()] == [("t", "missing")]
 
 
 def _zip(files):

@@ -14,9 +14,26 @@ def one(spark, value, column, kind="string"):
 
 
 def test_formulas():
-    assert X.formula_text(r"\frac{a}{b+1} \cdot x^{2}") == "(a)/(b+1) · x²"
-    assert X.formula_text(r"\frac{\frac{1}{2}}{y_i}") == "((1)/(2))/(y_(i))"
-    assert X.formula_text(r"\alpha_{1} \unknown{z}") == "α₁ unknownz" and X.formula_text(None) is None
+    for tex, want in (
+        (r"\frac{a_{1}}{\frac{b}{c}}", "(a₁) ÷ ((b) ÷ (c))"), (r"\sqrt{x+1}", "√(x + 1)"), (r"\hat{y}", "y\u0302"), (r"\sqrt[3]{8}", "³√(8)"), (r"$\alpha_{1} \unknown{z}$", "α₁ unknownz"),
+        (r"\sigma=\sqrt{\frac{1}{n}\sum_{i=1}^{n}x_i^2}", "σ = √((1) ÷ (n)∑ᵢ₌₁ⁿxᵢ²)"), (r"h_v=\frac{m_1+m_2}{e_{1v}+e_{2v}}", "hᵥ = (m₁ + m₂) ÷ (e₁ᵥ + e₂ᵥ)"), (r"\(\nabla f \to 0\)", "∇ f → 0"), (r"\frac12", r"\frac12"), (r"\frac 12 + x_1", "(1) ÷ (2) + x₁"),
+        (r"D:\raw\model\metrics.json", r"D:\raw\model\metrics.json"), ("hv=26/6≈4.33.", "hᵥ = 26/6 ≈ 4.33."), ("plain words", "plain words"), ("", ""), (r"\lambda^{", "λ"), (r"x_1}", "x₁"), (r"\begin{matrix}a_1\end{matrix}", "a₁"),
+        (r"\mathrm{softmax}(z_i) \cdot \Delta", "softmax(zᵢ) · Δ"), ("{" * 3000 + "x_1" + "}" * 3000, "{" * 3000 + "x_1" + "}" * 3000),
+    ):
+        assert X.formula_text(tex) == want, tex
+    assert X.formula_text(None) is None
+    assert X._UP[ord("a")] == "ᵃ" and X._UP[ord("2")] == "²" and X._UP[ord("x")] == "ˣ" and X._DOWN[ord("v")] == "ᵥ" and X._DOWN[ord("j")] == "ⱼ"
+
+
+def test_fractions():
+    f = lambda s: (lambda x: x and (x["prefix"], x["numerator"], x["denominator"], x["suffix"]))(X.first_fraction(s))
+    assert f(r"\frac{a_{1}}{b}") == ("", "a_{1}", "b", "") and f(r"x=\dfrac {1} {\frac{2}{3}}+y") == ("x=", "1", r"\frac{2}{3}", "+y")
+    assert f(r"\frac{1}{2") is None and f(r"\frac12") is None and f("x") is None and f(None) is None
+
+
+def test_case_folding(spark):
+    assert one(spark, "Straße  MASSE", X.heading_key) == one(spark, "STRASSE masse", X.heading_key) == "strasse masse"
+    assert one(spark, "Bước 1: ĐỌC", X.heading_key) == "bước 1 đọc" and one(spark, "ΣΊΣΥΦΟΣ", X.heading_key) == one(spark, "σίσυφος", X.heading_key)
 
 
 def test_pictures(spark):
