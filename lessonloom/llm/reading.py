@@ -10,7 +10,7 @@ Sentences end at a stop before a capital, at empty lines, before list items and,
 wrapped, at each line end (stops are often missing). Headings, tables' pipes, mark-up and source lines don't count.
 
 Null and blank texts and texts under ``min_words`` get no level. Repeated ids are read once; null ids are dropped.
-Without labels the formula's published shape (sentence length only) is used with fixed cuts.
+Without labels of two levels at least, fixed coefficients and cuts are used in which both terms count.
 """
 
 from __future__ import annotations
@@ -28,6 +28,9 @@ from pyspark.sql import types as T
 
 from lessonloom.runtime import materialize, sampled
 
+#: Constant, weight of unfamiliar words and of sentence length where there are no labels to fit them to.
+UNFITTED = (-1.5, 4.0, 1.2)
+
 WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 _LINE = re.compile(r"\n[ \t]*([^\W\d_])")
 _BLOCK = re.compile(r"\n\s*\n|\n(?=\s*(?:[-*•#]|\d+[.)])\s)")
@@ -93,7 +96,7 @@ def _scores(docs: DataFrame, *, list_share: float) -> DataFrame:
 def fit(labelled: list[tuple[float, float, float]]) -> tuple[list[float], list[float]]:
     """(coefficients, cuts between the levels 1 to 5) from (unfamiliar, sentence_words, level)."""
     if len({round(y) for *_, y in labelled}) < 2:
-        return [-2.5, 0.0, 1.8], [1.5, 2.5, 3.5, 4.5]
+        return list(UNFITTED), [1.5, 2.5, 3.5, 4.5]
     x = np.array([(1.0, u, np.log(max(1.0, s))) for u, s, _ in labelled])
     y = np.array([y for *_, y in labelled])
     b, *_ = np.linalg.lstsq(x, y, rcond=None)

@@ -3,7 +3,7 @@
 Agglomerative merging: the text is cut into atomic segments; adjacent segments sit in a heap ordered by the strength
 of the boundary between them, and the weakest boundary is merged first while the combined size plus the overlap fits
 the limit. What is left are the pieces; each but the first repeats the end of the one before it, from a natural
-boundary inside the allowed overlap.
+boundary inside the allowed overlap, or the whole of the overlap where it has none.
 
 Null and short texts give no pieces. Empty texts neither. Repeated rows of a record are split once. A text without
 any boundary is cut at the limit. Extra columns are kept out of the result unless named.
@@ -78,12 +78,13 @@ def split_text(text: str, limit: int = 5200, overlap: int = 700) -> list[tuple[i
 
 
 def _overlap_start(at: dict[int, int], edges: list[int], floor: int, core: int, overlap: int) -> int:
-    """The strongest boundary within ``overlap`` characters before ``core``, the earliest of equals; else ``core``."""
+    """The strongest boundary within ``overlap`` characters before ``core``, the earliest of equals; without any, the plain overlap."""
     from bisect import bisect_left
 
     low = max(floor, core - overlap)
     near = edges[bisect_left(edges, low) : bisect_left(edges, core)]
-    return max(near, key=lambda x: (min(at[x], 3), -x), default=core) if near else core
+    natural = [x for x in near if at[x]]
+    return max(natural, key=lambda x: (min(at[x], 3), -x)) if natural else low
 
 
 def pieces(rows: DataFrame, *, record: str = "chunk_id", text: str = "normalized_text", keep: tuple[str, ...] = ("heading_path", "page_start", "page_end"), limit: int = 5200, overlap: int = 700) -> DataFrame:

@@ -22,3 +22,21 @@ def test_levels(spark):
     p = R.profile(R.reading_levels(df, labels.limit(0)))
     assert sum(r.documents for r in p.collect()) == 83
     assert R.reading_levels(df.limit(0), labels).count() == 0
+
+
+def test_both_terms_count_without_labels():
+    b, cuts = R.fit([])
+    assert b[1] > 0 and b[2] > 0 and cuts == sorted(cuts)
+
+
+def test_levels_hold_on_documents_not_fitted_on():
+    import random
+
+    r = random.Random(2)
+    rows = [(u := 0.05 * y + r.gauss(0, 0.01), s := 4.0 * 1.6**y, float(y)) for y in (1, 2, 3, 4, 5) for _ in range(60)]
+    r.shuffle(rows)
+    b, cuts = R.fit(rows[:150])
+    import math
+
+    level = lambda u, s: 1 + sum(b[0] + b[1] * u + b[2] * math.log(s) >= c for c in cuts)
+    assert sum(level(u, s) == y for u, s, y in rows[150:]) >= 140

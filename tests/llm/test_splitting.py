@@ -30,3 +30,8 @@ def test_rows(spark):
     assert {r.chunk_id for r in rows} == {"a"} and [r.piece_no for r in rows] == list(range(1, len(rows) + 1))
     assert rows[0].heading_path == ["h"] and rows[0].page_end == 2 and all(len(r.piece_text) <= 50 for r in rows)
     assert S.pieces(df.limit(0), limit=50, overlap=10).count() == 0
+
+
+def test_plain_overlap_without_boundaries():
+    assert S.split_text("x" * 6000) == [(0, 0, 4500), (4500, 3800, 6000)]
+    assert S.split_text("a" * 40 + " " + "b" * 60, 50, 10)[1][:2][1] <= 41
