@@ -1,7 +1,7 @@
 """References to records that do not exist (problem 4).
 
 References and parents of all tables are brought together by (target, key): parents are first reduced to one validity
-interval per key (arrival, whether it was deleted), then both sides are hash-partitioned alike, sorted by the key and
+interval per key (from its arrival until its deletion, if it was deleted), then both sides are hash-partitioned alike, sorted by the key and
 merged in one pass over the two sorted streams. Keys that hold many references are split over salted partitions; only
 their parents are repeated.
 
@@ -19,9 +19,8 @@ from pyspark.sql import functions as F
 
 from lessonloom.runtime import materialize, small
 
-#: References of one key from which it is salted, and the number of its partitions.
+#: References of one key that stay together; a key with more is split over as many partitions as it needs.
 HOT = 100_000
-SALTS = 32
 
 
 @dataclass(frozen=True)
@@ -58,26 +57,26 @@ def references(specs: list[Reference]) -> DataFrame:
 
 
 def validity(parents: list[Parent]) -> DataFrame:
-    """(target, ref_id, since, deleted): one interval per key of any row."""
+    """(target, ref_id, since, until): one interval per key of any row, open if it was never deleted."""
     out = None
     for p in parents:
-        gone = F.col(p.deleted).isNotNull() if p.deleted else F.lit(False)
-        own = p.rows.select(F.lit(p.target).alias("target"), p.key.alias("ref_id"), F.col(p.arrival).alias("since"), gone.alias("deleted"))
+        gone = F.col(p.deleted).cast("timestamp_ntz") if p.deleted else F.lit(None).cast("timestamp_ntz")
+        own = p.rows.select(F.lit(p.target).alias("target"), p.key.alias("ref_id"), F.col(p.arrival).alias("since"), gone.alias("until"))
         out = own if out is None else out.unionByName(own)
-    return out.filter("ref_id IS NOT NULL").groupBy("target", "ref_id").agg(F.min("since").alias("since"), F.bool_or("deleted").alias("deleted"))
+    return out.filter("ref_id IS NOT NULL").groupBy("target", "ref_id").agg(F.min("since").alias("since"), F.min("until").alias("until"))
 
 
-def orphans(refs: list[Reference], parents: list[Parent], *, hot: int = HOT, salts: int = SALTS) -> DataFrame:
-    """(table_name, ref_field, record_id, ref_id, reason, ref_month) of every reference without a usable row."""
+def orphans(refs: list[Reference], parents: list[Parent], *, hot: int = HOT) -> DataFrame:
+    """(table_name, ref_field, record_id, ref_id, reason, ref_month) of every reference without a usable row; at most some ``hot`` references of a key meet in one partition."""
     left, right = materialize(references(refs), "references"), validity(parents)
-    heavy = materialize(left.groupBy("target", "ref_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= hot).select("target", "ref_id", F.lit(True).alias("heavy")), "heavy")
+    heavy = materialize(left.groupBy("target", "ref_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= hot).select("target", "ref_id", F.ceil(F.col("n") / hot).cast("int").alias("salts")), "heavy")
     if heavy.isEmpty():
         left, right = left.withColumn("salt", F.lit(0)), right.withColumn("salt", F.lit(0))
     else:
-        left = left.join(small(heavy), ["target", "ref_id"], "left").withColumn("salt", F.when(F.col("heavy"), F.pmod(F.xxhash64("record_id"), F.lit(salts)).cast("int")).otherwise(0)).drop("heavy")
-        right = right.join(small(heavy), ["target", "ref_id"], "left").withColumn("salt", F.explode(F.when(F.col("heavy"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("heavy")
+        left = left.join(small(heavy), ["target", "ref_id"], "left").withColumn("salt", F.pmod(F.xxhash64("record_id"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+        right = right.join(small(heavy), ["target", "ref_id"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
     merged = left.hint("merge").join(right.withColumn("found", F.lit(True)), ["target", "ref_id", "salt"], "left")
-    reason = F.when(F.col("found").isNull(), "missing").when(F.col("deleted"), "deleted").when(F.col("since") > F.col("arrived"), "late")
+    reason = F.when(F.col("found").isNull(), "missing").when(F.col("until").isNotNull(), "deleted").when(F.col("since") > F.col("arrived"), "late")
     return merged.withColumn("reason", reason).filter("reason IS NOT NULL").select("table_name", "ref_field", "record_id", "ref_id", "reason", F.date_format("arrived", "yyyy-MM").alias("ref_month"))
 
 

@@ -18,7 +18,7 @@ def test_reasons_and_ties(spark):
     parents = [("ok", D(1), None), ("ok", D(6), None), ("del", D(1), D(2)), ("late", D(5), None), ("same", D(3), None), ("", D(1), None), ("latedel", D(9), D(10)), (None, D(1), None)]
     refs = [("r1", ["ok", "del", "late", "same", "none", None, "none", "", "latedel"], "ok ", D(3), "x"), ("r1", ["ok", "del", "late", "same", "none", None, "none", "", "latedel"], "ok ", D(4), "x"), ("r2", None, None, D(3), "y"), (None, ["none"], "none", D(3), "z")]
     want = {("ids", "del", "deleted"), ("ids", "late", "late"), ("ids", "none", "missing"), ("one", "ok ", "missing"), ("ids", "latedel", "deleted")}
-    for k in ({}, {"hot": 1, "salts": 3}):
+    for k in ({}, {"hot": 1}):
         got = run(spark, refs, parents, **k).collect()
         assert {(r.ref_field, r.ref_id, r.reason) for r in got} == want and len(got) == len(want)
         assert {r.ref_month for r in got} == {"2025-03"} and {r.record_id for r in got} == {"r1"}
@@ -33,4 +33,4 @@ def test_empty_sides(spark):
 
 def test_hot_key_is_split(spark):
     refs = [(f"r{i}", ["hot"], None, D(2), "x") for i in range(500)]
-    assert run(spark, refs, [("hot", D(3), None)], hot=100, salts=4).filter("reason = 'late'").count() == 500
+    assert run(spark, refs, [("hot", D(3), None)], hot=100).filter("reason = 'late'").count() == 500
