@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window as W
+
+from lessonloom.operators.content import global_number
 
 
 def external(rows: DataFrame, key: str, inputs: list[str], call: Callable[[dict], dict], check: Callable[[dict], str | None] | None = None) -> DataFrame:
@@ -103,15 +104,12 @@ def changed_fields(old: dict[str, Column], new: dict[str, Column]) -> Column:
 
 
 def spliced(rows: DataFrame, new: DataFrame, group: str, order: str, value: str) -> DataFrame:
-    """``rows`` with one group's rows replaced by ``new`` at the same place, and numbers given anew inside each parent-free list.
-
-    The list has to be small (a catalog of modules); it is numbered by one window.
-    """
+    """``rows`` with one group's rows replaced by ``new`` at the same place, and all numbered anew from 0, by range partitions."""
     first = rows.filter(F.col(group) == value).agg(F.min(order).alias("_at"))
     kept = rows.filter(F.col(group) != value).withColumn("_a", F.col(order).cast("long")).withColumn("_b", F.lit(0).cast("long"))
     added = new.join(F.broadcast(first)).withColumn("_a", F.col("_at").cast("long")).withColumn("_b", F.col(order).cast("long")).drop("_at")
     both = kept.unionByName(added)
-    return both.withColumn(order, F.row_number().over(W.orderBy("_a", "_b")) - 1).drop("_a", "_b")
+    return global_number(both.drop(order), ["_a", "_b"], order).select(*rows.columns)
 
 
 def masked(rows: DataFrame, valid: DataFrame, key: str, title: str, shown: bool) -> DataFrame:

@@ -34,8 +34,8 @@ def canonical_objectives(spark, d):
     return a.select("atom_id", E.canonical_objective(F.col("objective"), F.col("title")).alias("canonical"), E.is_fallback(F.col("objective"), F.col("title")).alias("fallback"))
 
 
-@query(r"""SELECT chunk_id, left(trim(coalesce(nullif(list_filter(list_transform(list_reverse(heading_path), lambda h: left(trim(regexp_replace(h, '\s+', ' ', 'g'), ' .-_' || chr(9) || chr(10) || chr(13)), 180)), lambda h: h <> '')[1], ''),
-nullif(left(trim(regexp_replace(list_filter(list_transform(string_split(normalized_text, chr(10)), lambda x: trim(x)), lambda x: length(x) >= 4)[1], '\s+', ' ', 'g'), ' .-_' || chr(9) || chr(10) || chr(13)), 180), ''), 'Document') || ' · ' || CASE WHEN page_start = page_end THEN 'trang ' || page_start ELSE 'trang ' || page_start || '–' || page_end END, ' .-_' || chr(9) || chr(10) || chr(13)), 180) AS title
+@query(r"""SELECT chunk_id, left(trim(coalesce(nullif(list_filter(list_transform(list_reverse(heading_path), lambda h: left(trim(regexp_replace(replace(h, chr(160), ' '), '\s+', ' ', 'g'), ' .-_' || chr(9) || chr(10) || chr(13)), 180)), lambda h: h <> '')[1], ''),
+nullif(left(trim(regexp_replace(replace(list_filter(list_transform(string_split(normalized_text, chr(10)), lambda x: trim(x)), lambda x: length(x) >= 4)[1], chr(160), ' '), '\s+', ' ', 'g'), ' .-_' || chr(9) || chr(10) || chr(13)), 180), ''), 'Document') || ' · ' || CASE WHEN page_start = page_end THEN 'trang ' || page_start ELSE 'trang ' || page_start || '–' || page_end END, ' .-_' || chr(9) || chr(10) || chr(13)), 180) AS title
 FROM (SELECT DISTINCT chunk_id, heading_path, normalized_text, page_start, page_end FROM ch WHERE NOT regexp_matches(coalesce(normalized_text, ''), '[\x0b-\x0d]'))""")
 def unit_titles(spark, d):
     """A title for each chunk: its nearest heading or first line, with its pages."""
