@@ -13,9 +13,11 @@ the data. Texts of mostly frequent runs, edited copies of what very many copy, t
 segments with it, which holds chance meetings down and recall up.
 
 Crowds have an exact way of their own. A table's bucket of more than ``BUCKET`` texts (copies of one template) is not
-paired off; its texts form a group, joined with the groups of copies found so far. Inside a group of more than
-``FEW`` texts, pairs are searched by their rarest words in the group: two texts with the share of common words must
-have one of these in common, so nothing of a group is missed and texts that share the template only do not meet.
+paired off; its pairs are searched by their rarest words in the bucket: two texts with the share of common words must
+have one of these in common, so nothing of a bucket is missed and texts that share the template only do not meet.
+Texts that stand in many such buckets (``CROWDED``) are not searched bucket by bucket: those of one bucket form a group,
+joined with the groups of copies found so far, and each group of more than ``FEW`` texts is searched once. The other
+texts of their buckets are guests of the group: compared with its texts there, and with each other in their buckets.
 
 Texts of one word set are one class: only its representative is compared; members are joined to it afterwards. Texts
 that are null or have under ``min_words`` different words have no pairs. Null ids are dropped, repeated rows are one.
@@ -55,7 +57,7 @@ BASE_TEXTS = 400_000
 SIGNATURE = 64
 #: Texts of one key up to which they are paired off.
 BUCKET = 32
-#: Keys of a text in crowded buckets from which its copies may stand in no other.
+#: Keys of a text in crowded buckets from which it is searched once in a group, not in each of them.
 CROWDED = 16
 #: One in so many texts shows which keys are very hot, namely those of so many of them.
 SAMPLED, OFTEN = 64, 8
@@ -328,22 +330,36 @@ def _links(groups: dict[str, DataFrame], min_words: int, share: float) -> tuple[
     often = materialize(often.filter(F.col("m") >= OFTEN).select("key"), "often")
     crowd = None
     if not often.isEmpty():
-        crowd = materialize(keys.join(small(often), "key", "left_semi"), "crowd")
-        crowd = crowd.join(crowd.groupBy("key").agg(F.min("rid").alias("l")), "key").select("key", "rid", "l")
+        crowd = keys.join(small(often), "key", "left_semi").select("key", "rid")
         keys = keys.join(small(often), "key", "left_anti")
     # One shuffle: keys of one text only, nearly all, end here.
     w = W.partitionBy("key")
-    shared = materialize(keys.select("key", "rid", F.count(F.lit(1)).over(w).alias("m"), F.min("rid").over(w).alias("l")).filter("m > 1"), "shared")
+    shared = materialize(keys.select("key", "rid", F.count(F.lit(1)).over(w).alias("m")).filter("m > 1"), "shared")
     cold = shared.filter(F.col("m") <= BUCKET)
-    met = cold.select("key", F.col("rid").alias("a")).join(cold.select("key", F.col("rid").alias("b")), "key").filter("a < b").select("a", "b").distinct()
-    near = materialize(_verified(met, prints, share), "near")
+    met = cold.select("key", F.col("rid").alias("a")).join(cold.select("key", F.col("rid").alias("b")), "key").filter("a < b").select("a", "b")
+    hot = shared.filter(F.col("m") > BUCKET).select("key", "rid")
+    hot = materialize(hot if crowd is None else hot.unionByName(crowd), "hot")
+    single, stars, guests = _crowds(hot)
+    if not single.isEmpty():
+        met = met.unionByName(_by_rare_words(single, texts, share))
+    near = materialize(_verified(met.distinct(), prints, share), "near")
     links = materialize(_exact(near, texts, share), "links")
-    hot = shared.filter(F.col("m") > BUCKET).select("key", "rid", "l")
-    hot = hot if crowd is None else hot.unionByName(crowd)
-    # A text with few keys in crowded buckets, and none of the dense fingerprint, meets its copies in others.
-    deep = hot.groupBy("rid").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("key") % 2 != 0).alias("dense")).filter((F.col("n") >= CROWDED) | F.col("dense")).select("rid")
-    stars = hot.join(deep, "rid").filter("rid <> l").select(F.col("rid").alias("a"), F.col("l").alias("b")).distinct()
-    return classes, _completed(links, stars, near, prints, texts, share)
+    return classes, _completed(links, stars, guests, near, prints, texts, share)
+
+
+def _crowds(hot: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What covers each pair of a crowded bucket of ``hot`` (key, rid) once.
+
+    Buckets (rid, l) of texts with few such keys, to be searched each; stars (a, b) that tie the texts with many, or of the
+    dense fingerprint, of a bucket (one alone is tied to itself); guests (rid, b), texts with few whose bucket has such a star.
+    """
+    deep = hot.groupBy("rid").agg(((F.count(F.lit(1)) >= CROWDED) | F.bool_or(F.col("key") % 2 != 0)).alias("deep"))
+    marked = materialize(hot.join(deep, "rid"), "marked")
+    core, rest = marked.filter("deep").select("key", "rid"), marked.filter("NOT deep").select("key", "rid")
+    centre = materialize(core.groupBy("key").agg(F.min("rid").alias("b")), "centres")
+    stars = core.join(centre, "key").select(F.col("rid").alias("a"), "b").distinct()
+    guests = rest.join(centre, "key").select("rid", "b").distinct()
+    return rest.select("rid", F.col("key").alias("l")), materialize(stars, "ties"), materialize(guests, "guests")
 
 
 def _verified(met: DataFrame, prints: DataFrame, share: float) -> DataFrame:
@@ -370,35 +386,48 @@ def _exact(near: DataFrame, texts: DataFrame, share: float) -> DataFrame:
     return exact.filter(common >= F.lit(share) * union - 1e-9).select("a", "b")
 
 
-def _completed(links: DataFrame, stars: DataFrame, tried: DataFrame, prints: DataFrame, texts: DataFrame, share: float) -> DataFrame:
-    """``links`` and the pairs inside groups that fingerprints missed or buckets were too large for; ``stars`` tie the texts of such a bucket."""
-    group = _components(links.unionByName(stars))
-    group = materialize(group.join(group.groupBy("l").agg(F.count(F.lit(1)).alias("texts")), "l").select(F.col("v").alias("rid"), "l", "texts"), "groups")
+def _completed(links: DataFrame, stars: DataFrame, guests: DataFrame, tried: DataFrame, prints: DataFrame, texts: DataFrame, share: float) -> DataFrame:
+    """``links`` and the pairs inside groups that fingerprints missed or buckets were too large for; ``stars`` tie the texts of such a bucket, ``guests`` stand in it."""
+    group = materialize(_components(links.unionByName(stars)), "components")
+    alone = stars.select(F.col("a").alias("v")).distinct().join(group, "v", "left_anti")
+    group = group.unionByName(alone.select("v", F.col("v").alias("l"))).select(F.col("v").alias("rid"), "l")
+    host = group.select(F.col("rid").alias("b"), "l")
+    visit = guests.join(host, "b").select("rid", "l").distinct().join(group, ["rid", "l"], "left_anti")
+    group = materialize(group.withColumn("guest", F.lit(False)).unionByName(visit.withColumn("guest", F.lit(True))), "visited")
+    group = materialize(group.join(group.groupBy("l").agg(F.count(F.lit(1)).alias("texts")), "l"), "groups")
     few = group.filter(F.col("texts") <= FEW)
     met = few.select("l", F.col("rid").alias("a")).join(few.select("l", F.col("rid").alias("b")), "l").filter("a < b").select("a", "b")
-    many = group.filter(F.col("texts") > FEW).select("rid", "l")
+    many = group.filter(F.col("texts") > FEW).select("rid", "l", "guest")
     if not many.isEmpty():
         met = met.unionByName(_by_rare_words(many, texts, share))
-    near = materialize(_verified(met.join(tried, ["a", "b"], "left_anti"), prints, share), "near")
+    near = materialize(_verified(met.distinct().join(tried, ["a", "b"], "left_anti"), prints, share), "near")
     return links.unionByName(materialize(_exact(near, texts, share), "links"))
 
 
 def _by_rare_words(groups: DataFrame, texts: DataFrame, share: float) -> DataFrame:
     """Pairs (a, b) of one group (rid, l) that have one of their rarest words in common: all with the share are among them.
 
-    A text of n words that has the share with one not longer has one of its n - ceil(share n) + 1 rarest words among the
-    other's m - ceil(2 share m / (1 + share)) + 1 rarest ones.
+    Texts of n and m words with the share have c = ceil(share (n + m) / (1 + share)) in common at least, so one of the
+    n - c + 1 rarest words of the one is among the m - c + 1 rarest of the other. This is at most n - ceil(share n) + 1 for
+    the longer one, and m - ceil(2 share m / (1 + share)) + 1 for the other. Two guests (rid, l, guest) are no pair.
     """
-    words = materialize(groups.join(texts.select("rid", "n", F.array_distinct("words").alias("ws")), "rid").select("rid", "l", "n", F.explode("ws").alias("w")), "words")
+    if "guest" not in groups.columns:
+        groups = groups.withColumn("guest", F.lit(False))
+    own = ["rid", "l", "n", "guest"]
+    words = materialize(groups.join(texts.select("rid", "n", F.array_distinct("words").alias("ws")), "rid").select(*own, F.explode("ws").alias("w")), "words")
     often = words.groupBy("l", "w").agg(F.count(F.lit(1)).alias("df"))
-    ranked = words.join(often, ["l", "w"]).groupBy("rid", "l", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("ws"))
+    # A word of one text of the group is no key, but takes its place among the rarest.
+    ranked = words.join(often, ["l", "w"]).groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("ws"))
     probe = (F.col("n") - F.ceil(share * F.col("n") - 1e-9) + 1).cast("int")
     index = (F.col("n") - F.ceil(2 * share / (1 + share) * F.col("n") - 1e-9) + 1).cast("int")
-    ranked = materialize(ranked.select("rid", "l", "n", index.alias("own"), F.posexplode(F.slice("ws", F.lit(1), probe)).alias("pos", "x")).select("rid", "l", "n", (F.col("pos") < F.col("own")).alias("own"), F.col("x.w").alias("w")), "rare")
-    x = ranked.select("l", "w", F.col("rid").alias("x"), F.col("n").alias("nx"))
-    y = ranked.filter("own").select("l", "w", F.col("rid").alias("y"), F.col("n").alias("ny"))
-    met = x.join(y, ["l", "w"]).filter(((F.col("ny") < F.col("nx")) | (F.col("ny") == F.col("nx")) & (F.col("y") < F.col("x"))) & (F.col("ny") >= share * F.col("nx") - 1e-9))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    ranked = ranked.select(*own, index.alias("index"), F.posexplode(F.slice("ws", F.lit(1), probe)).alias("pos", "x")).filter("x.df > 1")
+    ranked = materialize(ranked.select(*own, "pos", (F.col("pos") < F.col("index")).alias("first"), F.col("x.w").alias("w")), "rare")
+    side = lambda x: [F.col(c).alias(f"{c}{x}") for c in ("rid", "n", "guest", "pos")]
+    met = ranked.select("l", "w", *side("x")).join(ranked.filter("first").select("l", "w", *side("y")), ["l", "w"])
+    met = met.filter("(ny < nx OR ny = nx AND ridy < ridx) AND NOT (guestx AND guesty)").filter(F.col("ny") >= share * F.col("nx") - 1e-9)
+    common = F.ceil(share / (1 + share) * (F.col("nx") + F.col("ny")) - 1e-9)
+    met = met.filter((F.col("posx") <= F.col("nx") - common) & (F.col("posy") <= F.col("ny") - common))
+    return met.select(F.least("ridx", "ridy").alias("a"), F.greatest("ridx", "ridy").alias("b")).distinct()
 
 
 def _components(links: DataFrame, rounds: int = 60) -> DataFrame:

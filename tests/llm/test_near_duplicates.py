@@ -3,6 +3,7 @@ import re
 import unicodedata
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lessonloom.llm import near_duplicates as N
 
@@ -162,3 +163,21 @@ def test_groups_are_searched_exactly(spark):
     sets = {k: set(w) for k, w in rows}
     want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b])}
     assert want <= got and len(want) > 100
+
+
+def test_pairs_that_meet_in_crowded_buckets_only_are_found(spark, monkeypatch):
+    # Every text stands in one bucket of 160; some stand in 16 more, and are searched in a group that the others visit.
+    r = random.Random(23)
+    rows = []
+    for k in range(80):
+        base = [f"w{k}x{j}" for j in range(20)]
+        rows += [(f"a{k:02}", " ".join(base)), (f"b{k:02}", " ".join([*base[:18], "y", f"z{k}"]))]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "id string, text string")
+    want = {(f"a{k:02}", f"b{k:02}") for k in range(80)}
+    assert brute(rows) == want
+    real = N._fingerprinted
+    for deep in ("false", "rid % 2 = 0", "rid < 40 AND rid % 2 = 0"):
+        keys = F.expr(f"IF({deep}, sequence(2L, 34L, 2L), array(2L))")
+        monkeypatch.setattr(N, "_fingerprinted", lambda x, schemes, keys=keys: real(x, schemes).withColumn("keys", keys))
+        assert {(x.id_a, x.id_b) for x in N.similar_pairs({"t": df}).collect()} == want, deep
