@@ -2,8 +2,9 @@
 
 Every text gets a fingerprint of min-wise symbols, cut into segments. In each segment the Hamming ball of radius one
 is enumerated (the segment with each of its symbols left open), so two texts meet in a table of that segment if they
-differ there in one symbol at most. Pairs that met are verified by the complete distance of a second signature and
-then by the exact share of common words.
+differ there in one symbol at most. Pairs that met are verified by the complete distance of a second signature, by a bitmap
+of the words' parities, which loses no pair, and then by the exact share of common words. Buckets of more than ``SIFTED``
+texts are sent signatures and bitmaps, so what is shuffled follows their texts, not the pairs that met by chance.
 
 Two fingerprints serve two lengths, and overlap so that no pair falls between them (a pair's sizes differ by
 30 % at most): short texts take single words, long ones runs of three, which tell them apart well, and single words in
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
@@ -55,8 +56,12 @@ FREQUENT = 50
 BASE_TEXTS = 400_000
 #: Symbols of the signature (2 bits each) by which complete distances are verified.
 SIGNATURE = 64
-#: Texts of one key up to which they are paired off.
-BUCKET = 32
+#: Bits of the bitmap of a text's words, each flipped by every word that falls on it.
+BITS = 512
+#: Texts of one key up to which they are paired off: half as many comparisons a text, made in place, cost less than its words sent.
+BUCKET = 64
+#: Texts of one key up to which its pairs are sent to their signatures; those of more are sent to the key with the bitmaps.
+SIFTED = 8
 #: Keys of a text in crowded buckets from which it is searched once in a group, not in each of them.
 CROWDED = 16
 #: One in so many texts shows which keys are very hot, namely those of so many of them.
@@ -153,6 +158,12 @@ def signature(words: np.ndarray) -> list[int]:
     return (low.reshape(2, 32) << _SHIFT).sum(axis=1, dtype=np.uint64).view(np.int64).tolist()
 
 
+def parities(words: np.ndarray) -> np.ndarray:
+    """The bitmap of different words in 64-bit integers: those of two texts differ in no more bits than the texts in words."""
+    odd = np.bincount((words >> _U(20)).astype(np.int64) & (BITS - 1), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 _READ = T.StructType([
     T.StructField("g", T.IntegerType()), T.StructField("id", T.StringType()), T.StructField("h", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("words", T.ArrayType(T.LongType())),
     T.StructField("runs", T.BooleanType()), T.StructField("cell", T.IntegerType()), T.StructField("texts", T.LongType()),
@@ -251,7 +262,8 @@ def _schemes(texts: dict[int, int], marks: dict) -> dict[tuple[int, str], Scheme
     return out
 
 
-_PRINT = T.StructType([T.StructField("rid", T.LongType()), T.StructField("n", T.IntegerType()), *[T.StructField(f"s{k}", T.LongType()) for k in range(2)], T.StructField("keys", T.ArrayType(T.LongType()))])
+_ODD = [f"p{k}" for k in range(BITS // 64)]
+_PRINT = T.StructType([T.StructField("rid", T.LongType()), T.StructField("n", T.IntegerType()), *[T.StructField(f"s{k}", T.LongType()) for k in range(2)], *[T.StructField(p, T.LongType()) for p in _ODD], T.StructField("keys", T.ArrayType(T.LongType()))])
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -262,13 +274,13 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def _fingerprinted(rows: DataFrame, schemes: dict) -> DataFrame:
-    """(rid, n, s0 and s1: signature, keys: of all segments and their balls) of (g, rid, n, words)."""
+    """(rid, n, s0 and s1: signature, p0 and on: bitmap, keys: of all segments and their balls) of (g, rid, n, words)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ends = batch.column(3).offsets.to_numpy()
             flat = batch.column(3).values.to_numpy().view(np.uint64)
-            keys, signs = [], []
+            keys, signs, odd = [], [], []
             for k, (g, n) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
                 words = flat[ends[k] : ends[k + 1]]
                 own, parts, dense = np.unique(words), [], []
@@ -282,8 +294,10 @@ def _fingerprinted(rows: DataFrame, schemes: dict) -> DataFrame:
                 every = np.concatenate([*(p & ~1 for p in parts), *dense])  # keys of the dense fingerprint are odd
                 keys.append(np.unique(every ^ np.int64(g * 0x5851F42D4C957F2C & (1 << 62) - 1)))
                 signs.append(signature(own))
+                odd.append(parities(own))
             s0, s1 = zip(*signs) if signs else ([], [])
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(s0, pa.int64()), pa.array(s1, pa.int64()), _lists(keys)], names=_PRINT.fieldNames())
+            bits = np.array(odd, np.int64).reshape(-1, BITS // 64).T
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(s0, pa.int64()), pa.array(s1, pa.int64()), *(pa.array(b) for b in bits), _lists(keys)], names=_PRINT.fieldNames())
 
     return rows.select("g", "rid", "n", "words").mapInArrow(read, _PRINT)
 
@@ -334,16 +348,19 @@ def _links(groups: dict[str, DataFrame], min_words: int, share: float) -> tuple[
         keys = keys.join(small(often), "key", "left_anti")
     # One shuffle: keys of one text only, nearly all, end here.
     w = W.partitionBy("key")
-    shared = materialize(keys.select("key", "rid", F.count(F.lit(1)).over(w).alias("m")).filter("m > 1"), "shared")
-    cold = shared.filter(F.col("m") <= BUCKET)
-    met = cold.select("key", F.col("rid").alias("a")).join(cold.select("key", F.col("rid").alias("b")), "key").filter("a < b").select("a", "b")
-    hot = shared.filter(F.col("m") > BUCKET).select("key", "rid")
+    shared = keys.select("key", "rid", F.count(F.lit(1)).over(w).alias("m")).filter("m > 1")
+    shared = materialize(shared.groupBy("key").agg(F.collect_list("rid").alias("rids")), "shared")
+    texts_of = lambda low, high: shared.filter(F.size("rids").between(low, high)).select("key", "rids", F.explode("rids").alias("rid"))
+    near = _in_buckets(texts_of(SIFTED + 1, BUCKET).select("key", "rid"), prints, share)
+    met = texts_of(2, SIFTED).select(F.col("rid").alias("a"), F.explode("rids").alias("b")).filter("a < b").distinct()
+    near = near.unionByName(_verified(met, prints, share))
+    hot = texts_of(BUCKET + 1, 2**31 - 1).select("key", "rid")
     hot = materialize(hot if crowd is None else hot.unionByName(crowd), "hot")
     single, stars, guests = _crowds(hot)
     if not single.isEmpty():
-        met = met.unionByName(_by_rare_words(single, texts, share))
-    near = materialize(_verified(met.distinct(), prints, share), "near")
-    links = materialize(_exact(near, texts, share), "links")
+        near = near.unionByName(_verified(_by_rare_words(single, texts, share), prints, share))
+    near = materialize(near.distinct(), "near")
+    links = materialize(_exact(near, prints, texts, share), "links")
     return classes, _completed(links, stars, guests, near, prints, texts, share)
 
 
@@ -362,24 +379,60 @@ def _crowds(hot: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return rest.select("rid", F.col("key").alias("l")), materialize(stars, "ties"), materialize(guests, "guests")
 
 
-def _verified(met: DataFrame, prints: DataFrame, share: float) -> DataFrame:
-    """Pairs (a, b) whose sizes and complete signatures allow the share."""
-    side = lambda x: prints.select(F.col("rid").alias(x), F.col("n").alias(f"n{x}"), *[F.col(f"s{k}").alias(f"{x}{k}") for k in range(2)])
-    pair = met.join(side("a"), "a").join(side("b"), "b")
+def _near(x: str, y: str, share: float) -> Column:
+    """Whether sizes (n) and complete signatures (s0, s1) of two sides, named by what stands before these, allow the share."""
     differ = F.lit(0)
     for k in range(2):
-        x = F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))
-        differ = differ + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+        d = F.col(f"{x}s{k}").bitwiseXOR(F.col(f"{y}s{k}"))
+        differ = differ + F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(F.lit(0x5555555555555555)))
     # A pair at the share differs in 0.75 * (1 - share) of the symbols on average; four deviations more are let through.
     mean = 0.75 * (1 - share)
     most = SIGNATURE * mean + 4 * math.sqrt(SIGNATURE * mean * (1 - mean))
-    return pair.filter((F.least("na", "nb") >= share * F.greatest("na", "nb")) & (differ <= most)).select("a", "b")
+    return (F.least(f"{x}n", f"{y}n") >= share * F.greatest(f"{x}n", f"{y}n")) & (differ <= most)
+
+
+def _odd(x: str, y: str, share: float) -> Column:
+    """Whether the bitmaps (p0 and on) of two sides, named by what stands before these, allow the share: none that has it is lost."""
+    differ = F.lit(0)
+    for p in _ODD:
+        differ = differ + F.bit_count(F.col(f"{x}{p}").bitwiseXOR(F.col(f"{y}{p}")))
+    # Of n and m words, n + m - 2 c are not common, and c is share / (1 + share) of n + m at least.
+    return differ <= (F.col(f"{x}n") + F.col(f"{y}n")) * ((1 - share) / (1 + share)) + 1e-6
+
+
+def _in_buckets(cold: DataFrame, prints: DataFrame, share: float) -> DataFrame:
+    """Pairs (a, b) of one bucket of ``cold`` (key, rid) that sizes, signatures and bitmaps allow; only these leave the bucket."""
+    signed = cold.join(prints.select("rid", "n", "s0", "s1", *_ODD), "rid").repartition("key")
+    bucket = signed.groupBy("key").agg(F.collect_list(F.struct("rid", "n", "s0", "s1", *_ODD)).alias("texts"))
+    pair = bucket.select("texts", F.explode("texts").alias("x")).select("x", F.explode("texts").alias("y")).filter("x.rid < y.rid")
+    return pair.filter(_near("x.", "y.", share) & _odd("x.", "y.", share)).select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b"))
+
+
+def _sides(pairs: DataFrame, prints: DataFrame, columns: list[str]) -> DataFrame:
+    """``pairs`` (a, b) with these columns of both, named with ``a_`` and ``b_``."""
+    for x in "ab":
+        pairs = pairs.join(prints.select(F.col("rid").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in columns]), x)
+    return pairs
+
+
+def _verified(met: DataFrame, prints: DataFrame, share: float) -> DataFrame:
+    """Pairs (a, b) whose sizes and complete signatures allow the share."""
+    return _sides(met, prints, ["n", "s0", "s1"]).filter(_near("a_", "b_", share)).select("a", "b")
+
+
+def _asked(pairs: DataFrame) -> DataFrame:
+    return small(materialize(pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct(), "asked"))
+
+
+def _sifted(near: DataFrame, prints: DataFrame, share: float) -> DataFrame:
+    """Those of the pairs (a, b) whose bitmaps allow the share."""
+    return _sides(near, prints.join(_asked(near), "rid", "left_semi"), ["n", *_ODD]).filter(_odd("a_", "b_", share)).select("a", "b")
 
 
-def _exact(near: DataFrame, texts: DataFrame, share: float) -> DataFrame:
+def _exact(near: DataFrame, prints: DataFrame, texts: DataFrame, share: float) -> DataFrame:
     """Those of the pairs (a, b) that have the share of common words."""
-    asked = materialize(near.select(F.col("a").alias("rid")).unionByName(near.select(F.col("b").alias("rid"))).distinct(), "asked")
-    words = texts.join(small(asked), "rid", "left_semi").select("rid", F.array_distinct("words").alias("w"))
+    near = materialize(_sifted(near, prints, share), "sifted")
+    words = texts.join(_asked(near), "rid", "left_semi").select("rid", F.array_distinct("words").alias("w"))
     exact = near.join(words.select(F.col("rid").alias("a"), F.col("w").alias("wa")), "a").join(words.select(F.col("rid").alias("b"), F.col("w").alias("wb")), "b")
     common = F.size(F.array_intersect("wa", "wb"))
     union = F.size("wa") + F.size("wb") - common
@@ -401,7 +454,7 @@ def _completed(links: DataFrame, stars: DataFrame, guests: DataFrame, tried: Dat
     if not many.isEmpty():
         met = met.unionByName(_by_rare_words(many, texts, share))
     near = materialize(_verified(met.distinct().join(tried, ["a", "b"], "left_anti"), prints, share), "near")
-    return links.unionByName(materialize(_exact(near, texts, share), "links"))
+    return links.unionByName(materialize(_exact(near, prints, texts, share), "links"))
 
 
 def _by_rare_words(groups: DataFrame, texts: DataFrame, share: float) -> DataFrame:
